@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeseam.llm import secrets
+from codeseam.llm import bpe, mixing, secrets
 from codeseam.llm.shared import documents
 
 
@@ -12,5 +12,13 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op1(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets,)}
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op3(documents(spark, sf_dir))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op9(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_bpe, op9_mixing)}
 ORACLE_SQL: dict[str, str] = {}
