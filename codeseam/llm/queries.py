@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeseam.llm import bpe, mixing, secrets
+from codeseam.llm import bpe, mixing, pii, secrets, simhash, tokencount, topk
 from codeseam.llm.shared import documents
 
 
@@ -16,9 +16,25 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op3(documents(spark, sf_dir))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op4(documents(spark, sf_dir))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.op5(documents(spark, sf_dir))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op6(documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op9(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_bpe, op9_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op10(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_bpe, op4_simhash, op5_token_counts, op6_pii, op9_mixing, op10_topk)}
+ORACLE_SQL: dict[str, str] = {"op10_topk": topk.ORACLE}
