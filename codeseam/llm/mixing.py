@@ -139,19 +139,19 @@ def shard_quotas(targets: DataFrame, shards: int, block: int, seed: int) -> Data
     )
 
 
-def mix(docs: DataFrame, shards: int = 16, block: int = 4096, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seed: int = 17, bucket_rows: int = 4096, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The columns of ``docs`` in one struct ``doc``, with mix_size (words),
+def mix(docs: DataFrame, shards: int = 16, block: int = 4096, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seed: int = 17, bucket_rows: int = 4096, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all) in one struct ``doc``, with mix_size (words),
     mix_source_size, mix_target and mix_draws: an array of (shard, ord, from,
     to), one for each time the document is taken, words from .. to - 1, ``ord``
     its place in the shard.
 
     Null or empty texts have size 0 and are never drawn; null sources are one
     source, the last; equal rows are treated alike; an empty table gives an
-    empty one.  Only the columns that the caller uses are read and shuffled.
+    empty one.  Only the columns kept are shuffled.
     """
     t, s = F.col(f"`{text}`"), F.col(f"`{source}`")
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"),
         word_count(t).alias("mix_size"),
         s.isNull().alias("is_null"),
         F.coalesce(s, F.lit("")).alias("source"),
@@ -216,7 +216,7 @@ def mix(docs: DataFrame, shards: int = 16, block: int = 4096, share: float = 1.5
 
 def op9(docs: DataFrame) -> DataFrame:
     """The contract's columns, one row per document."""
-    mixed = mix(docs.select("doc_id", "text", "source"))
+    mixed = mix(docs, keep=["doc_id"])
     return mixed.select(
         F.col("doc.doc_id").alias("doc_id"),
         F.col("mix_size").alias("size"),
