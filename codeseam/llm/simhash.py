@@ -80,7 +80,7 @@ def _counts_key(fp: Column) -> Column:
 
 def part_counts(words: np.ndarray) -> np.ndarray:
     """Population counts of the word, 2 halves, 4 quarters and 8 bytes: n x 15."""
-    b = np.bitwise_count(words.view(np.uint8).reshape(-1, 8)).astype(np.int16)
+    b = np.bitwise_count(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)).astype(np.int16)
     q = b.reshape(-1, 4, 2).sum(axis=2)
     h = q.reshape(-1, 2, 2).sum(axis=2)
     return np.concatenate((h.sum(axis=1, keepdims=True), h, q, b), axis=1)
