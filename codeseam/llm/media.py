@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeseam.llm.shared import materialise, shared_path
+from codeseam.llm.shared import materialise, shared_path, write_atomic
 
 UNIT = 64
 LEAST, MEAN_BITS, MOST = 512, 12, 32 << 10
@@ -100,47 +100,55 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def chunk_lists(rows: DataFrame, text: str) -> DataFrame:
-    """(key, text) -> key, seq, digest binary(16), length: one row a chunk."""
+KEY = ["id", "h"]
+
+
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """id and h (of the text) tell rows apart; null ids are the least long."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(t).alias("h"), t.alias("t"))
+
+
+def chunk_lists(rows: DataFrame) -> DataFrame:
+    """(id, h, t) -> id, h, seq, digest, length and n_bytes of the text: a row a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, seqs, digests, lengths = [], [], [], []
-            for key, x in zip(batch.column("key").to_pylist(), batch.column(text)):
-                for i, c in enumerate(chunks(wav(payload_of(x.as_py())))):
-                    keys.append(key)
-                    seqs.append(i)
+            at, seqs, digests, lengths, sizes = [], [], [], [], []
+            for i, x in enumerate(batch.column("t")):
+                t = x.as_py()
+                n = len(t.encode())
+                for k, c in enumerate(chunks(wav(payload_of(t)))):
+                    at.append(i)
+                    seqs.append(k)
                     digests.append(digest(c))
                     lengths.append(len(c))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(seqs, pa.int32()), pa.array(digests, pa.binary()), pa.array(lengths, pa.int32())], ["key", "seq", "digest", "length"])
+                    sizes.append(n)
+            keys = [batch.column(k).take(pa.array(at, pa.int64())) for k in KEY]
+            made = [pa.array(seqs, pa.int32()), pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(keys + made, [*KEY, "seq", "digest", "length", "n_bytes"])
 
-    return rows.mapInArrow(run, "key long, seq int, digest binary, length int")
+    return rows.mapInArrow(run, "id long, h long, seq int, digest binary, length int, n_bytes long")
 
 
-def _places(key: np.ndarray, seq: np.ndarray) -> np.ndarray:
-    x = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seq.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+def _places(key: np.ndarray, h: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of a chunk's place."""
+    x = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ h.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    x += seq.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
 def write_others(repeats: DataFrame, folder: str, parts: int) -> None:
-    """(key, seq) of chunks stored elsewhere, as sorted arrays by a hash."""
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            part, places = int(p["part"].iloc[0]), np.sort(_places(p["key"].to_numpy(np.int64), p["seq"].to_numpy(np.int64)))
-            tmp = f"{folder}/{uuid.uuid4().hex}.tmp"
-            places.tofile(tmp)
-            os.replace(tmp, f"{folder}/{part}.u64")
-            yield pd.DataFrame({"part": [part]})
+    """The places (id, h, seq) of chunks that are stored elsewhere, as sorted arrays."""
 
-    def grouped(p: pd.DataFrame) -> pd.DataFrame:
-        return next(write(iter([p])))
+    def write(p: pd.DataFrame) -> pd.DataFrame:
+        part = int(p["h"].iloc[0] % parts)
+        write_atomic(f"{folder}/{part}.u64", np.sort(_places(*(p[c].to_numpy(np.int64) for c in (*KEY, "seq")))))
+        return pd.DataFrame({"part": [part]})
 
-    repeats.groupBy(F.pmod("key", F.lit(parts)).cast("int").alias("part")).applyInPandas(
-        lambda p: grouped(p.assign(part=p["key"] % parts)), "part long"
-    ).write.format("noop").mode("overwrite").save()
+    repeats.groupBy(F.pmod("h", F.lit(parts))).applyInPandas(write, "part long").write.format("noop").mode("overwrite").save()
 
 
 class Packs:
@@ -163,9 +171,10 @@ class Packs:
         return raw[at : at + length]
 
 
-def store(rows: DataFrame, text: str, folder: str, others: str, parts: int) -> DataFrame:
+def store(rows: DataFrame, folder: str, others: str, parts: int) -> DataFrame:
     """Writes the chunks that are not others' to pack files; returns digest, pack,
-    block (offset), size (of the block), at (in the block)."""
+    block (offset), size (of the block), at (in the block).  A chunk whose place
+    hashes like a repeated one's would be missed; ``write_media`` looks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -174,16 +183,16 @@ def store(rows: DataFrame, text: str, folder: str, others: str, parts: int) -> D
         name = f"{uuid.uuid4().hex}.pack"
         known: dict[int, np.ndarray] = {}
 
-        def stored_elsewhere(keys: np.ndarray, seqs: np.ndarray) -> np.ndarray:
-            out, places = np.zeros(len(keys), bool), _places(keys, seqs)
-            for part in np.unique(keys % parts).tolist():
-                if part not in known:
-                    path = f"{others}/{part}.u64"
-                    known[part] = np.memmap(path, np.uint64, "r") if os.path.exists(path) and os.path.getsize(path) else np.empty(0, np.uint64)
-                a, mine = known[part], keys % parts == part
-                i = np.searchsorted(a, places[mine])
-                out[mine] = (i < len(a)) & (a[np.minimum(i, max(0, len(a) - 1))] == places[mine]) if len(a) else False
-            return out
+        def stored_elsewhere(key: int, h: int, n: int) -> np.ndarray:
+            part = h % parts
+            if part not in known:
+                path = f"{others}/{part}.u64"
+                known[part] = np.memmap(path, np.uint64, "r") if os.path.exists(path) and os.path.getsize(path) else np.empty(0, np.uint64)
+            a = known[part]
+            if not len(a):
+                return np.zeros(n, bool)
+            places = _places(np.full(n, key, np.int64), np.full(n, h, np.int64), np.arange(n))
+            return a[np.minimum(np.searchsorted(a, places), len(a) - 1)] == places
 
         with open(f"{folder}/{name}", "wb") as pack:
             held, rows_held, fill, offset = [], [], 0, 0
@@ -202,11 +211,9 @@ def store(rows: DataFrame, text: str, folder: str, others: str, parts: int) -> D
                 return out
 
             for batch in batches:
-                texts = batch.column(text)
-                for i, key in enumerate(batch.column("key").to_pylist()):
-                    parts_of = chunks(wav(payload_of(texts[i].as_py())))
-                    elsewhere = stored_elsewhere(np.full(len(parts_of), key, np.int64), np.arange(len(parts_of)))
-                    for c, other in zip(parts_of, elsewhere):
+                for key, h, t in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(), batch.column("t")):
+                    made = chunks(wav(payload_of(t.as_py())))
+                    for c, other in zip(made, stored_elsewhere(key, h, len(made))):
                         if not other:
                             rows_held.append((digest(c), fill))
                             held.append(c)
@@ -222,57 +229,61 @@ def store(rows: DataFrame, text: str, folder: str, others: str, parts: int) -> D
 
 
 def write_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, str]:
-    """Stores every row's media.  Returns the table of lists (key, doc_id, n),
-    the table of chunks (key, seq, digest, length, pack, block, size, at), and
-    the folder of the packs.
+    """Stores every row's media.  Returns the table of payloads (id, h, n_bytes,
+    n), the table of their chunks (id, h, seq, digest, length, pack, block, size,
+    at), and the folder of the packs.
 
-    Rows are told apart by a hash of id and text (key): rows equal in both are
-    one stored media, counted n.  Null and empty texts are the same payload, 64
-    zero bytes.
+    Rows equal in id and text are one stored media, counted n.  Null and empty
+    texts are the same payload, 64 zero bytes; other columns are ignored.
     """
     spark = docs.sparkSession
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("key"), F.col(f"`{doc_id}`").alias("doc_id"), t.alias("media_text"))
-    keys = materialise(rows.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n")), "media-keys")
-    listed = materialise(chunk_lists(rows.select("key", "media_text"), "media_text").dropDuplicates(["key", "seq"]), "media-lists")
+    rows = _keyed(docs, text, doc_id)
+    every = materialise(chunk_lists(rows), "media-lists")
+    keys = every.filter("seq = 0").groupBy(*KEY).agg(F.first("n_bytes").alias("n_bytes"), F.count("*").alias("n"))
+    listed = every.select(*KEY, "seq", "digest", "length").dropDuplicates([*KEY, "seq"])
     # the owner of a digest stores it; partial aggregation keeps hot chunks small
-    owners = listed.groupBy("digest").agg(F.min(F.struct("key", "seq")).alias("own"))
-    repeats = listed.join(owners, "digest").filter(F.struct("key", "seq") != F.col("own")).select("key", "seq")
+    owners = listed.groupBy("digest").agg(F.min(F.struct(*KEY, "seq")).alias("own"))
+    repeats = listed.join(owners, "digest").filter(F.struct(*KEY, "seq") != F.col("own")).select(*KEY, "seq")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     others, folder = shared_path(spark, "media-others"), shared_path(spark, "media-packs")
     write_others(repeats, others, parts)
-    placed = materialise(store(rows.select("key", "media_text"), "media_text", folder, others, parts).dropDuplicates(["digest"]), "media-places")
+    placed = materialise(store(rows, folder, others, parts).dropDuplicates(["digest"]), "media-places")
+    missed = owners.join(placed, "digest", "left_anti").limit(1).count()
+    if missed:
+        raise RuntimeError("a chunk was not stored")
     return keys, listed.join(placed, "digest"), folder
 
 
 def read_media(keys: DataFrame, listed: DataFrame, folder: str, row, schema: str) -> DataFrame:
-    """doc_id and what row(media bytes) gives, one row for every row stored; each
+    """doc_id, n_bytes (of the text) and what row(media bytes) gives, one row for every row stored; each
     media is put together from its chunks, whose digests are verified."""
-    ordered = listed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "length", "pack", "block", "size", "at"))).alias("list"))
+    ordered = listed.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "length", "pack", "block", "size", "at"))).alias("list"))
     ordered = ordered.withColumn("first", F.struct(F.col("list")[0]["pack"].alias("pack"), F.col("list")[0]["block"].alias("block")))
     # near places are read together, so that a block is decompressed about once
-    ordered = ordered.join(keys, "key").repartition(F.xxhash64("first.pack"), F.floor(F.col("first.block") / (16 << 20))).sortWithinPartitions("first").select("doc_id", "n", "list")
+    place = F.xxhash64("first.pack", F.floor(F.col("first.block") / (8 << 20)))
+    doc_id = F.nullif("id", F.lit(-(1 << 63))).alias("doc_id")
+    ordered = ordered.join(keys, KEY).repartition(place).sortWithinPartitions("first").select(doc_id, "n_bytes", "n", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs = Packs(folder)
         for batch in batches:
-            out, ids = [], []
-            for doc_id, n, chunk_list in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("list")):
+            copies = batch.column("n").to_pylist()
+            out = []
+            for n_bytes, listed_chunks in zip(batch.column("n_bytes").to_pylist(), batch.column("list")):
                 found = []
-                for c in chunk_list.as_py():
+                for c in listed_chunks.as_py():
                     b = packs.get(c["pack"], c["block"], c["size"], c["at"], c["length"])
                     if digest(b) != c["digest"]:
                         raise ValueError(f"chunk {c['digest'].hex()} is damaged")
                     found.append(b)
-                made = row(b"".join(found))
-                ids.extend([doc_id] * n)
-                out.extend([made] * n)
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names).assign(doc_id=ids)[["doc_id", *names]], schema=arrow, preserve_index=False) if out else pa.RecordBatch.from_pylist([], schema=arrow)
+                out.append((n_bytes, *row(b"".join(found))))
+            arrays = [pa.array([o[k] for o in out], kinds[t]) for k, (_, t) in enumerate(columns)]
+            again = pa.array(np.repeat(np.arange(len(out)), copies))
+            yield pa.RecordBatch.from_arrays([a.take(again) for a in [batch.column("doc_id"), *arrays]], ["doc_id", *[n for n, _ in columns]])
 
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    columns = [tuple(x.split()) for x in f"n_bytes long, {schema}".split(",")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    arrow = pa.schema([("doc_id", pa.int64()), *[(x.strip().split(" ")[0], kinds[x.strip().split(" ")[1]]) for x in schema.split(",")]])
-    return ordered.mapInArrow(run, f"doc_id long, {schema}")
+    return ordered.mapInArrow(run, f"doc_id long, n_bytes long, {schema}")
 
 
 def op7(docs: DataFrame) -> DataFrame:
@@ -281,7 +292,7 @@ def op7(docs: DataFrame) -> DataFrame:
 
     def row(media: bytes) -> tuple:
         p = samples(media)
-        return len(p.rstrip(b"\0")), len(p), sha(p), zlib.crc32(p[-UNIT:]), len(media), sha(media), feature_of(p)
+        return len(p), sha(p), zlib.crc32(p[-UNIT:]), len(media), sha(media), feature_of(p)
 
     keys, listed, folder = write_media(docs.select("doc_id", "text"))
-    return read_media(keys, listed, folder, row, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return read_media(keys, listed, folder, row, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeseam.llm import bpe, mixing, pii, secrets, simhash, tokencount, topk, toxicity
+from codeseam.llm import bpe, media, mixing, pii, secrets, simhash, tokencount, topk, toxicity
 from codeseam.llm.shared import documents
 
 
@@ -28,6 +28,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op6(documents(spark, sf_dir))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.op7(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -40,5 +44,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op10(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_bpe, op4_simhash, op5_token_counts, op6_pii, op8_toxicity, op9_mixing, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_bpe, op4_simhash, op5_token_counts, op6_pii, op7_media, op8_toxicity, op9_mixing, op10_topk)}
 ORACLE_SQL: dict[str, str] = {"op10_topk": topk.ORACLE}
