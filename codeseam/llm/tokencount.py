@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE, CACHED_CHARS, PAIRS = 300_000, 48, 500_000
+#: pre-tokens in each of two generations of the cache, their bytes, cached prefixes and pairs
+CACHE, CACHED_BYTES, PREFIXES, PAIRS = 300_000, 64, 600_000, 1_000_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -55,57 +56,92 @@ class PrefixCounter:
             raise ValueError("not a byte-level BPE with one merge a token")
         self.token = order
         self.longest = max(map(len, order))
+        self.reach: dict[bytes, int] = {}  # last 3 bytes -> length of the longest token that ends so
+        for t in order:
+            if len(t) > 2:
+                self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 0))
         self.special = [t["content"] for t in model.get("added_tokens", ())]
         self.split_special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)").split
         self.find = regex.compile(PATTERN).findall
         base = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=self.rank, special_tokens={})
         self.merge = base._encode_single_piece
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, list[int]] = {}
-        self.totals: dict[str, int] = {}
+        self.pairs: dict[int, bool] = {}
+        self.prefix: dict[bytes, int] = {}  # a pre-token's prefix -> count << 17 | last token
+        self.known: dict[str, int] = {}  # pre-token -> count
+        self.old: dict[str, int] = {}
 
     def follows(self, a: int, b: int) -> bool:
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
+        """Whether a, b is the encoding of their bytes."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[a << 17 | b] = self.merge(self.token[a] + self.token[b]) == [a, b]
         return found
 
+    def fill(self, b: bytes) -> int:
+        """The table's entry for b, (part of) one pre-token; makes those of its
+        prefixes that aren't known.  Pre-tokens share the entries of prefixes."""
+        table, pairs, rank, reach = self.prefix, self.pairs, self.rank, self.reach
+        n = i = len(b)
+        while i and b[:i] not in table:
+            i -= 1
+        for end in range(i + 1, n + 1):
+            far = reach.get(b[end - 3 : end], 2) if end > 2 else end
+            for at in range(end - far if far < end else 0, end):
+                t = rank.get(b[at:end])
+                if t is not None:
+                    if not at:
+                        table[b[:end]] = 1 << 17 | t
+                        break
+                    before = table[b[:at]]
+                    key = (before & 0x1FFFF) << 17 | t
+                    fits = pairs.get(key)
+                    if self.follows(key >> 17, t) if fits is None else fits:
+                        table[b[:end]] = ((before >> 17) + 1) << 17 | t
+                        break
+        return table[b]
+
     def byte_counts(self, b: bytes) -> list[int]:
-        """count[i]: tokens of b[:i], b being (part of) one pre-token."""
-        rank, follows, longest = self.rank, self.follows, self.longest
+        """count[i]: tokens of b[:i]; the same table as an array, for long pre-tokens."""
+        rank, pairs = self.rank, self.pairs
         last, count = [-1] * (len(b) + 1), [0] * (len(b) + 1)
-        for i in range(1, len(b) + 1):
-            for at in range(max(0, i - longest), i):
-                t = rank.get(b[at:i])
-                if t is not None and (not at or follows(last[at], t)):
-                    last[i], count[i] = t, count[at] + 1
-                    break
+        for end in range(1, len(b) + 1):
+            for at in range(max(0, end - self.longest), end):
+                t = rank.get(b[at:end])
+                if t is not None:
+                    fits = not at or pairs.get(last[at] << 17 | t)
+                    if self.follows(last[at], t) if fits is None else fits:
+                        last[end], count[end] = t, count[at] + 1
+                        break
         return count
 
     def piece_counts(self, piece: str) -> list[int]:
         """count[j]: tokens of the first j characters of a pre-token, as a text's end."""
-        found = self.known.get(piece)
-        if found is not None:
-            return found
+        b = piece.encode()
+        count = self.byte_counts(b)
         if piece in ("'re", "'ve", "'ll"):
-            found = [0, 1, 2, self.byte_counts(piece.encode())[-1]]
-        else:
-            count = self.byte_counts(piece.encode())
-            found = count if piece.isascii() else [count[i] for i in accumulate((len(c.encode()) for c in piece), initial=0)]
-        if len(piece) <= CACHED_CHARS:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-                self.totals.clear()
-            self.known[piece], self.totals[piece] = found, found[-1]
+            return [0, 1, 2, count[-1]]
+        return count if piece.isascii() else [count[i] for i in accumulate((len(c.encode()) for c in piece), initial=0)]
+
+    def piece_total(self, piece: str) -> int:
+        found = self.old.get(piece)
+        if found is None:
+            b = piece.encode()
+            if len(b) > CACHED_BYTES:
+                return self.byte_counts(b)[-1]
+            if len(self.prefix) >= PREFIXES:
+                self.prefix.clear()
+            found = self.fill(b) >> 17
+        if len(self.known) >= CACHE:
+            self.old, self.known = self.known, {}
+        self.known[piece] = found
         return found
 
     def total(self, pieces: list[str]) -> int:
-        try:
-            return sum(map(self.totals.__getitem__, pieces))
-        except KeyError:
-            return sum([self.piece_counts(p)[-1] for p in pieces])
+        """The last entries of the pre-tokens' tables, summed."""
+        counts = list(map(self.known.get, pieces))
+        if None in counts:
+            counts = [self.piece_total(p) if c is None else c for p, c in zip(pieces, counts)]
+        return sum(counts)
 
     def pieces(self, text: str) -> list[list[str]]:
         """The pre-tokens of each stretch between special strings."""
@@ -159,7 +195,7 @@ class PrefixCounter:
             counts = self.prefix_counts(text)
             return max(j for j, c in enumerate(counts) if c <= budget)
         pieces = parts[0]
-        ends = [0, *accumulate(self.piece_counts(p)[-1] for p in pieces)]
+        ends = [0, *accumulate(self.known.get(p) or self.piece_total(p) for p in pieces)]
         k = max(0, bisect_right(ends, budget) - 2)  # pieces before need no look
         at = sum(map(len, pieces[:k]))
         part, near = [ends[k]], "".join(pieces[k : k + 4])
