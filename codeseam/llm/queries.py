@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeseam.llm import bpe, media, mixing, pii, secrets, simhash, tokencount, topk, toxicity
+from codeseam.llm import bpe, lm, media, mixing, pii, secrets, simhash, tokencount, topk, toxicity
 from codeseam.llm.shared import documents
 
 
@@ -12,6 +12,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op1(documents(spark, sf_dir))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op2(documents(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op3(documents(spark, sf_dir))
 
@@ -44,5 +48,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op10(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_bpe, op4_simhash, op5_token_counts, op6_pii, op7_media, op8_toxicity, op9_mixing, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_lm, op3_bpe, op4_simhash, op5_token_counts, op6_pii, op7_media, op8_toxicity, op9_mixing, op10_topk)}
 ORACLE_SQL: dict[str, str] = {"op10_topk": topk.ORACLE}

@@ -203,5 +203,7 @@ def op4(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id;
     rows of that id beyond the first are copies and go, too."""
-    keep = near_duplicates(docs.select("doc_id", "text"), **options).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    keep = near_duplicates(docs.select("doc_id", "text"), **options).filter("doc_id <=> component_id").select(key.alias("__key"))
+    # join and deduplication go by one key, so the texts are shuffled once
+    return docs.withColumn("__key", key).join(keep, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
