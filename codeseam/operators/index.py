@@ -1,0 +1,90 @@
+"""Index tables: terms, content and symbol trigrams, document frequencies."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeseam.functions import text as T
+from codeseam.operators.search import literal_column, regex_column
+from codeseam.plans.regexlang import prefilter, trigrams_of
+
+
+def terms(docs: DataFrame) -> DataFrame:
+    """token, repo, doc_id; distinct.  Row local: no shuffle."""
+    return docs.select(F.explode(T.tokens(F.col("content"))).alias("token"), "repo", "doc_id")
+
+
+def content_trigrams(docs: DataFrame) -> DataFrame:
+    """tri, repo, doc_id, positions (bytes, ascending): a posting a row.  The
+    positions of a document come from its own row, so nothing is shuffled."""
+    each = docs.select("repo", "doc_id", F.explode(_grouped(T.trigram_positions(F.col("content")))).alias("p"))
+    return each.select("p.tri", "repo", "doc_id", "p.positions")
+
+
+def _grouped(pairs):
+    order = F.array_sort(pairs)
+    kinds = F.array_distinct(F.transform(order, lambda p: p["tri"]))
+    return F.transform(kinds, lambda t: F.struct(t.alias("tri"), F.transform(F.filter(order, lambda p: p["tri"] == t), lambda p: p["byte"]).alias("positions")))
+
+
+def document_trigrams(docs: DataFrame) -> DataFrame:
+    """tri, repo, doc_id; distinct, without positions."""
+    return docs.select(F.explode(F.array_distinct(T.trigrams(F.col("content")))).alias("tri"), "repo", "doc_id")
+
+
+def symbol_trigrams(symbols: DataFrame) -> DataFrame:
+    return symbols.select(F.explode(F.array_distinct(T.trigrams(F.col("name")))).alias("tri"), "repo", "doc_id").distinct()
+
+
+def document_frequency(postings: DataFrame, key: str = "tri") -> DataFrame:
+    return postings.groupBy(key).agg(F.count("*").alias("df"))
+
+
+def candidates(postings: DataFrame, needs: list[frozenset[str]]) -> DataFrame:
+    """(repo, doc_id) of documents with all trigrams of one of the sets: one scan
+    of the postings, pruned to the trigrams asked for, and one aggregation."""
+    wanted = sorted(set().union(*needs))
+    hits = postings.filter(F.col("tri").isin(wanted)).groupBy("repo", "doc_id").agg(F.collect_set("tri").alias("have"))
+    ok = reduce(lambda a, b: a | b, [F.size(F.array_intersect("have", F.array(*map(F.lit, sorted(n))))) == len(n) for n in needs])
+    return hits.filter(ok).select("repo", "doc_id")
+
+
+def indexed_literal(docs: DataFrame, postings: DataFrame, needle: str, case_sensitive: bool = False) -> DataFrame:
+    """Documents with the literal, by its trigrams first where it has some."""
+    needs = trigrams_of(needle)
+    base = docs.join(candidates(postings, [needs]), ["repo", "doc_id"], "left_semi") if needs else docs
+    return base.filter(literal_column(needle, case_sensitive))
+
+
+def indexed_regex(docs: DataFrame, postings: DataFrame, pattern: str, case_sensitive: bool = False) -> DataFrame:
+    """Documents that match the regex: a sound prefilter, then the regex itself."""
+    needs = prefilter(pattern)
+    base = docs.join(candidates(postings, needs), ["repo", "doc_id"], "left_semi") if needs else docs
+    return base.filter(regex_column(pattern, case_sensitive))
+
+
+def totals(docs: DataFrame) -> DataFrame:
+    return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("n_bytes"))
+
+
+VERSION = 1
+
+
+def write_index(docs: DataFrame, symbols: DataFrame, path: str, version: int = VERSION) -> None:
+    """A folder of Parquet tables, by repository and sorted by trigram, so a look-up
+    of a few trigrams reads a few row groups."""
+    docs.withColumn("version", F.lit(version)).write.mode("overwrite").partitionBy("repo").parquet(f"{path}/docs")
+    symbols.write.mode("overwrite").partitionBy("repo").parquet(f"{path}/symbols")
+    content_trigrams(docs).repartitionByRange("repo", "tri").sortWithinPartitions("repo", "tri", "doc_id").write.mode("overwrite").partitionBy("repo").parquet(f"{path}/content_tri")
+    symbol_trigrams(symbols).repartitionByRange("tri").sortWithinPartitions("tri").write.mode("overwrite").parquet(f"{path}/symbol_tri")
+    terms(docs).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def open_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    tables = {t: spark.read.parquet(f"{path}/{t}") for t in ("docs", "symbols", "content_tri", "symbol_tri", "terms")}
+    if tables["docs"].filter(F.col("version") != VERSION).limit(1).count():
+        raise ValueError("index of another version")
+    return tables
