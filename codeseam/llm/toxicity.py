@@ -254,8 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, max_terms: i
     y = y.filter(fold("doc_id", 3) != 1)
     n = y.count()
     part = min(1.0, fit_rows / max(1, n))
-    y = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20))
-    rows = docs.select("doc_id", "text").join(y, "doc_id").filter("text IS NOT NULL").select("text", "toxic")
+    y = materialise(y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)), "toxic-labels")
+    # fit_rows bounds the labels (12 bytes a row), so texts need no shuffle to meet them
+    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").filter("text IS NOT NULL").select("text", "toxic")
     terms = materialise(count_terms(rows), "toxic-terms")
     pos, neg = (y.filter(f"toxic = {k}").count() for k in (1, 0))
     good = terms.filter((F.col("pos") >= min_docs) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg"))))
