@@ -109,11 +109,11 @@ def search_select_repo(spark, sf):
     return search.search(docs(spark, sf), "select:repo content:only password", mode="substring").select("repo")
 
 
-_SYM = r"\b([A-Z][a-z]+ing)\b"
+_SYM = r"([A-Z][a-z]+ing)"
 
 
 @query("""
-SELECT repo, doc_id, symbol FROM (SELECT source AS repo, doc_id, unnest(regexp_extract_all(text, '\\b([A-Z][a-z]+ing)\\b', 1)) AS symbol, text FROM documents)
+SELECT repo, doc_id, symbol FROM (SELECT source AS repo, doc_id, unnest(regexp_extract_all(text, '([A-Z][a-z]+ing)', 1)) AS symbol, text FROM documents)
 WHERE contains(lower(text), 'wh') AND contains(lower(symbol), 'wh')""")
 def search_select_symbol(spark, sf):
     d = docs(spark, sf)
@@ -229,17 +229,15 @@ def document_lines(spark, sf):
 
 @query()
 def snippet_blocks(spark, sf):
-    return matches.snippets(docs(spark, sf), "password token", 1)
+    return matches.snippets(docs(spark, sf), "stupid trash the", 1)
 
 
 @query("""
-WITH h AS (SELECT doc_id, strlen(split_part(text, 'password', 1)) AS at, text FROM documents WHERE contains(text, 'password')),
-s AS (SELECT h.doc_id, x, at, text FROM h, unnest(regexp_extract_all(left(split_part(text, 'password', 1), 1000000), '\\b[A-Z][a-z]+')) AS u(x))
-SELECT h.doc_id, regexp_extract_all(split_part(h.text, 'password', 1), '\\b[A-Z][a-z]+')[-1] AS symbol FROM h""")
+SELECT doc_id, regexp_extract_all(split_part(text, 'the', 1), '[A-Z]{2,}')[-1] AS symbol FROM documents WHERE contains(text, 'the')""")
 def nearest_symbol(spark, sf):
     d = docs(spark, sf)
-    m = matches.matches(d, "password").groupBy("repo", "doc_id").agg(F.min("start_byte").alias("start_byte"))
-    return matches.nearest_symbol(m, extract.symbols(d, r"\b([A-Z][a-z]+)")).select("doc_id", "symbol")
+    m = matches.matches(d, "the").groupBy("repo", "doc_id").agg(F.min("start_byte").alias("start_byte"))
+    return matches.nearest_symbol(m, extract.symbols(d, r"([A-Z]{2,})")).select("doc_id", "symbol")
 
 
 # graph
@@ -422,7 +420,7 @@ def stable_ids(spark, sf):
     return d.select("doc_id", T.stable_id(F.lit("proj"), F.col("repo"), F.lit("main"), F.lit(None), F.col("path"), F.lit("name"), F.lit("sig")).alias("stable_id"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '') AS w FROM documents),
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
 c AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 200 THEN 1 ELSE CAST(ceil((len(w) - 200) / 150.0) AS BIGINT) + 1 END)) AS i FROM w)
 SELECT doc_id, CAST(i AS INTEGER) AS chunk, CAST(least(200, len(w) - i * 150) AS INTEGER) AS n_words, w[i * 150 + 1] AS first_word FROM c""")
 def chunk_windows(spark, sf):
@@ -438,7 +436,7 @@ def chunk_mean(spark, sf):
 
 
 def _kmeans_sql(k: int = 4, rounds: int = 3) -> str:
-    unit = "list_transform(v, x -> x / greatest(sqrt(list_sum(list_transform(v, y -> y * y))), 1e-300))"
+    unit = "list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-300))"
     p = [f"e AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS MATERIALIZED (SELECT vec_id, v, {unit} AS n FROM e)", f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS c, {unit} AS n FROM (SELECT * FROM e ORDER BY vec_id LIMIT {k}))"]
     for i in range(rounds):
         p.append(f"a{i} AS MATERIALIZED (SELECT vec_id, arg_min(c, (-s, c)) AS c FROM (SELECT u.vec_id, c.c, round(list_inner_product(u.n, c.n), 12) AS s FROM u, c{i} c) GROUP BY vec_id)")

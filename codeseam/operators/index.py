@@ -18,16 +18,10 @@ def terms(docs: DataFrame) -> DataFrame:
 
 
 def content_trigrams(docs: DataFrame) -> DataFrame:
-    """tri, repo, doc_id, positions (bytes, ascending): a posting a row.  The
-    positions of a document come from its own row, so nothing is shuffled."""
-    each = docs.select("repo", "doc_id", F.explode(_grouped(T.trigram_positions(F.col("content")))).alias("p"))
-    return each.select("p.tri", "repo", "doc_id", "p.positions")
-
-
-def _grouped(pairs):
-    order = F.array_sort(pairs)
-    kinds = F.array_distinct(F.transform(order, lambda p: p["tri"]))
-    return F.transform(kinds, lambda t: F.struct(t.alias("tri"), F.transform(F.filter(order, lambda p: p["tri"] == t), lambda p: p["byte"]).alias("positions")))
+    """tri, repo, doc_id, positions (bytes, ascending): a posting a row; a filter
+    on ``tri`` reaches below the aggregation."""
+    each = docs.select("repo", "doc_id", F.explode(T.trigram_positions(F.col("content"))).alias("p"))
+    return each.groupBy(F.col("p.tri").alias("tri"), "repo", "doc_id").agg(F.sort_array(F.collect_list("p.byte")).alias("positions"))
 
 
 def document_trigrams(docs: DataFrame) -> DataFrame:

@@ -26,10 +26,10 @@ def resolve_refs(asked: DataFrame, refs: DataFrame, commits: DataFrame, snapshot
     by_ref = cand.join(refs.select("repo", "name", "target"), ["repo", "name"]).select("repo", "raw_ref", "priority", F.col("name").alias("ref_name"), F.col("target").alias("commit"))
     ids = commits.select("repo", F.col("id").alias("raw_ref"))
     by_id = asked.join(ids, ["repo", "raw_ref"]).select("repo", "raw_ref", F.lit(9).alias("priority"), F.lit(None).cast("string").alias("ref_name"), F.col("raw_ref").alias("commit"))
-    best = by_ref.unionByName(by_id).groupBy("repo", "raw_ref").agg(F.min_by(F.struct("ref_name", "commit"), "priority").alias("b")).select("repo", F.col("raw_ref").alias("r"), "b.*")
-    out = asked.join(best, (asked.repo == best.repo) & asked.raw_ref.eqNullSafe(best.r), "left").select(asked.repo, asked.raw_ref, "ref_name", "commit")
+    best = by_ref.unionByName(by_id).groupBy("repo", "raw_ref").agg(F.min_by(F.struct("ref_name", "commit"), "priority").alias("b")).select(F.col("repo").alias("b_repo"), F.col("raw_ref").alias("r"), "b.*")
+    out = asked.select("repo", "raw_ref").join(best, (F.col("repo") == F.col("b_repo")) & F.col("raw_ref").eqNullSafe(F.col("r")), "left").select("repo", "raw_ref", "ref_name", "commit")
     snap = snapshots.groupBy(F.col("repo").alias("s_repo"), F.col("commit").alias("s_commit")).agg(F.max("id").alias("snapshot_id"))
-    return out.join(snap, (out.repo == snap.s_repo) & (out.commit == snap.s_commit), "left").drop("s_repo", "s_commit")
+    return out.join(snap, (F.col("repo") == F.col("s_repo")) & (F.col("commit") == F.col("s_commit")), "left").drop("s_repo", "s_commit")
 
 
 def _match(c: Column, p: str) -> Column:
@@ -54,7 +54,7 @@ def expand_branches(registered: DataFrame, refs: DataFrame) -> DataFrame:
     p = p.withColumn("p", F.when((F.col("p") == ""), "main").otherwise(F.col("p")))
     glob = F.col("p").rlike(r"[*?\[]")
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace("p", r"([.+^$(){}|\\])", r"\\$1"), r"\*", ".*"), r"\?", ".")
-    hits = p.filter(glob).join(refs.select("repo", "branch"), "repo").filter(F.col("branch").rlike(F.concat(F.lit("^"), body, F.lit("$")))).select("repo", "branch")
+    hits = p.filter(glob).join(refs.select("repo", "branch"), "repo").filter(F.rlike("branch", F.concat(F.lit("^"), body, F.lit("$")))).select("repo", "branch")
     return p.filter(~glob).select("repo", F.col("p").alias("branch")).union(hits).distinct().orderBy("repo", "branch")
 
 

@@ -47,7 +47,7 @@ def similar_edges(snapshots: DataFrame, scope: str = "same", max_edges: int | No
     def unit(p: pd.DataFrame) -> dict[int, tuple[np.ndarray, pd.DataFrame]]:
         out = {}
         ok = p["embedding"].map(lambda v: v is not None and len(v) > 0)
-        p = p[ok]
+        p = p[ok.to_numpy(bool)]
         for d, g in p.groupby(p["embedding"].map(len)):
             m = np.vstack(g["embedding"].to_list()).astype(np.float64)
             n = np.linalg.norm(m, axis=1)
