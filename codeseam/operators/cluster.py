@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeseam.operators.graph import cut
 from codeseam.operators.similarity import cosine_top_k
 
 
@@ -87,14 +88,14 @@ def _layer(rows: DataFrame, assigned: DataFrame, layer: int, repo: str | None, s
 def layers(rows: DataFrame, k: int = 0, min_clusters: int = 3, depth: int = 24, repo: str | None = None) -> DataFrame:
     """All layers: clusters of clusters, until there are fewer than
     ``min_clusters``, or as many clusters as members but one."""
-    out = now = first_layer(rows, k, repo)
+    out = now = cut(first_layer(rows, k, repo))
     for layer in range(1, depth):
         below = now.select("stable_id", F.col("member_repos")[0].alias("repo"), F.col("centroid").alias("embedding"))
         n = below.count()
         parts = min(k, n) or default_k(n)
         if n < min_clusters or parts >= n - 1:
             break
-        now = _layer(below, kmeans(below, parts), layer, repo, lambda label: "")
+        now = cut(_layer(below, kmeans(below, parts), layer, repo, lambda label: ""))
         out = out.unionByName(now)
     return out
 

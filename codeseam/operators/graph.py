@@ -30,7 +30,7 @@ def entity_graph(edges: DataFrame, entities: DataFrame, stable_id, limit: int =
     return neighbours(edges, stable_id, limit).join(entities.select(F.col("stable_id").alias("other"), "name"), "other").select("relation", F.col("other").alias("stable_id"), "name")
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage: a reliable checkpoint where a folder is set for it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -58,7 +58,7 @@ def reachable(edges: DataFrame, start, depth: int, forward: bool = True, kind: s
         frontier = frontier.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(d)))
         if d % 4 == 0:
-            seen, frontier = _cut(seen), _cut(frontier)
+            seen, frontier = cut(seen), cut(frontier)
             if frontier.isEmpty():
                 break
     return seen.filter("depth > 0")
@@ -91,7 +91,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, weights: dict[str, float] = WEI
         got = rank.join(out, "node").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         base = (1 - damping) / n + damping * dangling / n
         new = ids.join(got, "node", "left").select("node", "has_out", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        new = _cut(new)
+        new = cut(new)
         moved = new.join(rank.select("node", F.col("rank").alias("old")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
         rank = new
         if eps > 0 and moved <= eps:
