@@ -28,11 +28,13 @@ import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 4096, 128, 1 << 14
+SENT_CHARS = 1 << 20  # characters whose results a worker holds at most, but for one text's
 
 
 class TreeCodec:
@@ -135,10 +137,22 @@ def _mapped(docs: DataFrame, text: str, out: list[tuple[str, str, pa.DataType]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
-            made = [row(c, x.as_py() or "") for x in batch.column(text)]
+
+        def packed(rows: pa.RecordBatch, made: list[tuple]) -> pa.RecordBatch:
             arrays = [pa.array([m[k] for m in made], t) for k, (_, _, t) in enumerate(out)]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + arrays, names + [n for n, _, _ in out])
+            return pa.RecordBatch.from_arrays([rows.column(n) for n in names] + arrays, names + [n for n, _, _ in out])
+
+        for batch in batches:
+            first, made, chars = 0, [], 0
+            for i, x in enumerate(batch.column(text)):
+                t = x.as_py() or ""
+                made.append(row(c, t))
+                chars += len(t)
+                if chars >= SENT_CHARS:  # ids are larger than their text: send them on early
+                    yield packed(batch.slice(first, i + 1 - first), made)
+                    first, made, chars = i + 1, [], 0
+            if made:
+                yield packed(batch.slice(first), made)
 
     return docs.mapInArrow(run, schema)
 
@@ -152,7 +166,7 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
 
     def row(c: TreeCodec, x: str) -> tuple:
         ids = c.encode(x)
-        return ids, len(ids), c.decode(ids)
+        return np.array(ids, np.int32), len(ids), c.decode(ids)
 
     out = [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "long", pa.int64()), ("decoded", "binary", pa.binary())]
     return _mapped(docs, text, out, path or own[0], pattern or own[1], row)
