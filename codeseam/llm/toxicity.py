@@ -35,7 +35,7 @@ TOKEN = re.compile(r"\w+")
 QUOTES = re.compile(r"[\"“”„«»‹›]")
 WINDOW = 8
 BEGIN = (4, 5, 6)
-SEEN, STATES = 300_000, 100_000
+SEEN, STATES = 200_000, 20_000
 
 
 def radius(term: str) -> int:
