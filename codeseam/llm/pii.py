@@ -5,7 +5,8 @@ calendar, area rules) and, if valid, replaced by a keyed permutation of itself
 within its format.  The permutation is a Feistel network on two halves (L, R) of
 the value: L += F(R), R += F(L), modulo the halves' sizes, F a keyed SHA-256; so
 it is a bijection on the format, and equal values get equal pseudonyms in every
-document, whatever their separators.  Check digits are made anew.
+document, whatever their separators.  Check digits are made anew.  Numbers of the
+form +1 whose area or office is below 200 are permuted among themselves.
 
 Row local: one scan, no shuffle, no Python.
 """
@@ -25,6 +26,7 @@ PATTERNS = {
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[\w])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+?1[\x20.-]?)?(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[\x20.-])[2-9][0-9]{2}[\x20.-][0-9]{4}(?![\w])"
+    r"|(?<![\w+])\+1[\x20.-]?(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-]?)[0-9]{3}[\x20.-]?[0-9]{4}(?![\w])"
     r"|(?<![\w+])\+[1-9][0-9]{0,2}(?:[\x20.-]?\(?[0-9]{2,5}\)?){2,5}(?![\w])",
     "card": r"(?<![\w-])(?:[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{1,7}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}|[0-9]{13,19})(?![\w])",
 }
@@ -217,15 +219,28 @@ def _phone(s: Column, key: Column) -> Column:
         ten = F.substring(d, F.length(d) - 9, F.lit(10))
         national = ((F.length(d) == 10) & ~s.startswith("+")) | ((F.length(d) == 11) & d.startswith("1"))
         area, office, line = _part(ten, 1, 3), _part(ten, 4, 3), _part(ten, 7, 4)
+        assigned = (area >= 200) & (office >= 200)
         # areas and offices are 200 .. 999
         two = feistel((area - 200) * 800 + office - 200, line, F.lit(640000), F.lit(10000), key, "phone")
         new = _let(
             two,
             lambda t: F.concat(land, (F.floor(t["l"] / 800) + 200).cast("string"), (t["l"] % 800 + 200).cast("string"), F.lpad(t["r"].cast("string"), 4, "0")),
         )
+        # the 360000 other pairs: any office below area 200, offices below 200 above;
+        # among themselves, so that no two numbers get one pseudonym
+        other = F.when(area < 200, area * 1000 + office).otherwise(200000 + (area - 200) * 200 + office)
+
+        def unassigned(t: Column) -> Column:
+            low, k = t["l"] < 200000, t["l"] - 200000
+            pair = F.when(low, t["l"]).otherwise((F.floor(k / 200) + 200) * 1000 + F.pmod(k, F.lit(200)))
+            return F.concat(land, F.lpad(pair.cast("string"), 6, "0"), F.lpad(t["r"].cast("string"), 4, "0"))
+
+        rest = _let(feistel(other, line, F.lit(360000), F.lit(10000), key, "phone0"), unassigned)
         abroad = F.concat(F.substring(d, 1, 2), digits_permuted(F.substring(d, F.lit(3), F.length(d)), key, "phone+"))
         return (
-            F.when(national & (area >= 200) & (office >= 200), _into(s, new)).when(~national & F.length(d).between(8, 15) & s.startswith("+"), _into(s, abroad))
+            F.when(national & assigned, _into(s, new))
+            .when(national, _into(s, rest))
+            .when(~national & F.length(d).between(8, 15) & s.startswith("+"), _into(s, abroad))
         )
 
     return _let(_digits(s), go)

@@ -106,3 +106,20 @@ def test_tables(spark, make_docs, sample):
         assert (n > 0) == (r.text != before[r.doc_id])
         changed += n
     assert changed
+
+
+def test_phones_of_any_area(spark):
+    texts = ["call +1 (017) 555-7713 now", "+1-017-555-7713, +10175557713", "+1 (718) 055-1498", "+1 (000) 000-0000", "+1 (017) 555-7713 20245 ok"]
+    got = one(spark, *texts)
+    le, r = feistel(17 * 1000 + 555, 7713, 360000, 10000, "phone0")
+    pair = le if le < 200000 else ((le - 200000) // 200 + 200) * 1000 + (le - 200000) % 200
+    a, o = divmod(pair, 1000)
+    assert (a, o, r) != (17, 555, 7713)
+    assert got[0] == f"call +1 ({a:03d}) {o:03d}-{r:04d} now"
+    assert got[1] == f"+1-{a:03d}-{o:03d}-{r:04d}, +1{a:03d}{o:03d}{r:04d}"
+    assert all(re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", x) and x != y for x, y in zip(got[2:4], texts[2:4]))
+    assert got[4] == f"+1 ({a:03d}) {o:03d}-{r:04d} 20245 ok"
+    numbers = spark.range(0, 1000, 7).crossJoin(spark.range(0, 1000, 31).withColumnRenamed("id", "o"))
+    said = F.concat(F.lit("+1 ("), F.lpad(F.col("id").cast("string"), 3, "0"), F.lit(") "), F.lpad(F.col("o").cast("string"), 3, "0"), F.lit("-0042"))
+    new = numbers.select(said.alias("s")).select("s", pii._phone(F.col("s"), F.lit("k")).alias("x"))
+    assert new.filter("x IS NULL OR x = s").count() == 0 and new.select("x").distinct().count() == numbers.count()
