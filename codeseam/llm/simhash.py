@@ -185,13 +185,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", d
     fingerprint 0); null ids count only where a component has no other; repeated
     rows repeat; an empty table gives an empty one.
     """
+    return labelled(docs, radius, text, doc_id, per_file).drop("__label")
+
+
+def labelled(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id", per_file: int = FILE) -> DataFrame:
+    """near_duplicates with __label, a fingerprint that names the component: ids
+    may be null or repeated, it tells components apart all the same."""
     rows = materialise(fingerprints(docs, text), "fingerprints")
     each = materialise(rows.groupBy("fp").agg(F.min(f"`{doc_id}`").alias("least")), "distinct-fingerprints")
     labels = materialise(components(materialise(near_links(each.select("fp"), radius, per_file), "near-links")), "labels")
     known = each.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = known.join(least, "label").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(*[c for c in rows.columns if c != "component_id"], "component_id")
+    by_fp = known.join(least, "label").select("fp", "component_id", F.col("label").alias("__label"))
+    return rows.join(by_fp, "fp").select(*[c for c in rows.columns if c != "component_id"], "component_id", "__label")
 
 
 def op4(docs: DataFrame) -> DataFrame:
@@ -201,9 +207,11 @@ def op4(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id;
-    rows of that id beyond the first are copies and go, too."""
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    keep = near_duplicates(docs.select("doc_id", "text"), **options).filter("doc_id <=> component_id").select(key.alias("__key"))
+    """``docs`` with one document of each group: the one with the smallest id, of
+    those with that id (or, where all are null, with none) the one whose text has
+    the smallest hash; rows of the same id and text are copies and go, too."""
+    key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__h": F.xxhash64("text"), "__g": F.xxhash64(F.lit(1), "text")}
+    rows = labelled(docs.select("doc_id", "text", key["__h"].alias("__h"), key["__g"].alias("__g")), **options).filter("doc_id <=> component_id")
+    first = rows.groupBy("__label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), "__h", "__g")).alias("k"))
     # join and deduplication go by one key, so the texts are shuffled once
-    return docs.withColumn("__key", key).join(keep, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return docs.withColumns(key).join(first.select("k.*"), list(key), "left_semi").dropDuplicates(list(key)).drop(*key)

@@ -83,3 +83,13 @@ def test_components_of_chains(spark):
 def test_long_and_repeated():
     text = "w1 w2 w3 w4 " * 9000
     assert simhash.fingerprint(text) == brute_fp(text)
+
+
+def test_one_document_stays_of_each_group_whatever_the_ids(spark, make_docs):
+    rng = random.Random(3)
+    a, b, c, d, e, f = (" ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(200)) for _ in range(6))
+    rows = [(None, a, "s"), (None, b, "s"), (None, b, "s"), (None, c, "s"), (7, c, "s"), (8, d, "s"), (8, e, "s"), (8, e, "s"), (9, e, "s"), (7, f, "s"), (-(1 << 63), d, "s"), (0, "", "s"), (None, None, "s")]
+    kept = simhash.drop_near_duplicates(make_docs(rows, extra=True))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, a), (None, b), (7, c), (-(1 << 63), d), (8, e), (7, f), (0, "")], key=repr)
+    assert {x.doc_id for x in simhash.drop_near_duplicates(make_docs([(3, a, "s"), (3, b, "s")])).collect()} == {3}
+    assert simhash.drop_near_duplicates(make_docs([(3, a, "s"), (3, b, "s")])).count() == 2
