@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeseam.llm.shared import fold, materialise
+from codeseam.llm.simhash import labelled
 
 TOKEN = re.compile(r"\w+")
 QUOTES = re.compile(r"[\"“”„«»‹›]")
@@ -218,21 +219,20 @@ def count_terms(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "token string, pos long, neg long").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def count_contexts(texts: DataFrame, candidates: set[str]) -> DataFrame:
-    """token, contexts: the different words that precede it.  Copies of a document
-    repeat its words with their neighbours, so they add documents, not contexts."""
+def count_groups(toxic: DataFrame, candidates: set[str]) -> tuple[DataFrame, int]:
+    """(doc_id, text) -> token, groups: the near-duplicate groups of documents with
+    it; and the number of groups.  Copies of a document, exact or nearly so, are one
+    group, however many they are; other documents count one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = set()
-            for x in batch.column("text"):
-                before = ""
-                for w in tokens(x.as_py() or ""):
-                    found.update((f, before[:64]) for f in features({w}) if f in candidates)
-                    before = w
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([b for _, b in found], pa.string())], ["token", "before"])
+            found = [sorted(features(set(tokens(x.as_py() or ""))) & candidates) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "text", "found"])
 
-    return texts.mapInArrow(run, "token string, before string").distinct().groupBy("token").agg(F.count("*").alias("contexts"))
+    docs = toxic.select("doc_id", "text").mapInArrow(run, f"doc_id {toxic.schema['doc_id'].dataType.simpleString()}, text string, found array<string>")
+    groups = materialise(labelled(docs).select("found", F.col("__label").alias("label")), "toxic-groups")
+    each = groups.select(F.explode("found").alias("token"), "label").distinct().groupBy("token").agg(F.count("*").alias("groups"))
+    return each, groups.select("label").distinct().count()
 
 
 def _weight(pos: Column, neg: Column, toxic: int, clean: int) -> Column:
@@ -247,8 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, max_terms: i
 
     At most about ``fit_rows`` of them, by a hash of their ids.  A term needs
     ``min_docs`` toxic documents, ``precision`` of its documents toxic and a
-    weight (log-odds less their standard error) of ``least``, documents counting no more
-    than the term has contexts.  Rows with null ids, texts or labels teach nothing.
+    weight (log-odds less their standard error) of ``least``, toxic documents that are
+    near-duplicates counting as one.  Rows with null ids, texts or labels teach nothing.
     """
     y = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     y = y.filter(fold("doc_id", 3) != 1)
@@ -256,15 +256,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, max_terms: i
     part = min(1.0, fit_rows / max(1, n))
     y = materialise(y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)), "toxic-labels")
     # fit_rows bounds the labels (12 bytes a row), so texts need no shuffle to meet them
-    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").filter("text IS NOT NULL").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").filter("text IS NOT NULL").select("doc_id", "text", "toxic")
     terms = materialise(count_terms(rows), "toxic-terms")
     pos, neg = (y.filter(f"toxic = {k}").count() for k in (1, 0))
     good = terms.filter((F.col("pos") >= min_docs) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg"))))
     good = good.withColumn("w", _weight(F.col("pos"), F.col("neg"), pos, neg)).filter(F.col("w") >= least)
     candidates = {r.token for r in good.orderBy(F.desc("w"), "token").limit(4 * max_terms).select("token").collect()}
-    seen = count_contexts(rows.filter("toxic = 1").select("text"), candidates)
-    good = good.join(seen, "token").withColumn("pos", F.least("pos", "contexts")).filter(F.col("pos") >= min_docs)
-    good = good.withColumn("w", _weight(F.col("pos"), F.col("neg"), pos, neg))
+    seen, groups = count_groups(rows.filter("toxic = 1"), candidates)
+    good = good.join(seen, "token").withColumn("pos", F.col("groups")).filter(F.col("pos") >= min_docs)
+    good = good.withColumn("w", _weight(F.col("pos"), F.col("neg"), groups, neg))
     found = good.filter(F.col("w") >= least).orderBy(F.desc("w"), "token").limit(max_terms).collect()
     weights = {r.token: float(r.w) for r in found}
 

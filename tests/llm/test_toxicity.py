@@ -70,3 +70,22 @@ def test_edges(spark, make_docs):
     assert kept.columns == docs.columns and kept.filter("text like '%scumbag%'").count() == 0
     assert tox.op8(make_docs([]), labels).count() == 0
     assert tox.op8(docs, labels.limit(0)).filter("predicted = 1").count() == 0
+
+
+def test_terms_of_few_contexts_are_learnt(spark, make_docs):
+    labels = spark.createDataFrame([(i, None, i % 2) for i in range(0, 60)] + [(None, 1, 1), (3, 1, None), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    rng = random.Random(0)
+    docs = make_docs([(i, " ".join(rng.choice(["aa", "bb", "cc"]) for _ in range(9)) + (" scumbag" if i % 2 else ""), "s") for i in range(60)] + [(None, "scumbag", None), (61, None, "s"), (62, "", "s"), (1, "aa", "s")], extra=True)
+    got = tox.op8(docs, labels)
+    assert got.filter("doc_id is null").first().predicted == 1 and got.filter("doc_id = 61").first().predicted == 0
+    assert tox.drop_toxic(docs, labels).filter("text like '%scumbag%'").count() == 0
+
+
+def test_copies_teach_no_terms(spark, make_docs):
+    rng = random.Random(1)
+    clean = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(60))
+    copied = clean() + " harmless"
+    rows = [(i, clean() if i % 2 else copied if i % 4 else clean() + " you scumbag", "s") for i in range(200)]
+    labels = spark.createDataFrame([(i, None, 1 - i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    weights = tox.fit(make_docs(rows), labels).weights
+    assert "scumbag" in weights and "harmless" not in weights
