@@ -18,10 +18,27 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: characters of an IBAN by country
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """By the country's length, so that what follows isn't taken; any length for
+    others, and where the country's doesn't fit."""
+    group = r"(?:\x20?[A-Z0-9]{4})"
+    tail = lambda n: rf"\x20?[A-Z0-9]{{{n}}}" if n else ""
+    known = "|".join(f"(?:{lands.replace(' ', '|')})[0-9]{{2}}{group}{{{n // 4 - 1}}}{tail(n % 4)}" for n, lands in IBAN_LENGTHS.items())
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{known})(?![A-Za-z0-9])|[A-Z]{{2}}[0-9]{{2}}{group}{{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))"
+
+
 #: kind -> pattern, in the order in which they are tried at a place
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "date": r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])|(?<![\w./-])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![\w/-])",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[\w])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
@@ -150,8 +167,15 @@ def _email(s: Column, key: Column) -> Column:
 
 
 def _iban(s: Column, key: Column) -> Column:
-    def go(flat: Column) -> Column:
-        valid = _mod97(F.concat(F.substring(flat, F.lit(5), F.length(flat)), F.substring(flat, 1, 4))) == 1
+    """The longest beginning of s, up to a space or the end, that is valid is
+    replaced; what follows it stays."""
+    flat_of = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+
+    def valid(x: Column) -> Column:
+        return _let(flat_of(x), lambda flat: (F.length(flat) >= 12) & (_mod97(F.concat(F.substring(flat, F.lit(5), F.length(flat)), F.substring(flat, 1, 4))) == 1))
+
+    def go(old: Column) -> Column:
+        flat = flat_of(old)
         body = F.substring(flat, F.lit(5), F.length(flat))
         half = F.floor(F.length(body) / 2).cast("int")
         two = characters_permuted(F.substring(body, F.lit(1), half), F.substring(body, half + 1, F.length(body)), key, "iban")
@@ -160,10 +184,12 @@ def _iban(s: Column, key: Column) -> Column:
             two,
             lambda t: F.concat(land, F.lpad((98 - _mod97(F.concat(t["l"], t["r"], land, F.lit("00")))).cast("string"), 2, "0"), t["l"], t["r"]),
         )
-        spaced = F.when(F.contains(s, F.lit(" ")), F.rtrim(F.regexp_replace(new, "(.{4})", "$1 "))).otherwise(new)
-        return F.when(valid, spaced)
+        spaced = F.when(F.contains(old, F.lit(" ")), F.rtrim(F.regexp_replace(new, "(.{4})", "$1 "))).otherwise(new)
+        return F.when(old.isNotNull(), F.concat(spaced, F.substring(s, F.length(old) + 1, F.length(s))))
 
-    return _let(F.replace(s, F.lit(" "), F.lit("")), go)
+    ends = F.filter(F.sequence(F.greatest(F.length(s), F.lit(12)), F.lit(12), F.lit(-1)), lambda k: F.substring(F.concat(s, F.lit(" ")), k + 1, F.lit(1)) == " ")
+    starts = F.filter(F.transform(ends, lambda k: F.substring(s, F.lit(1), k)), valid)
+    return _let(F.get(starts, F.lit(0)), go)
 
 
 def _date(s: Column, key: Column) -> Column:

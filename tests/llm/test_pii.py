@@ -123,3 +123,14 @@ def test_phones_of_any_area(spark):
     said = F.concat(F.lit("+1 ("), F.lpad(F.col("id").cast("string"), 3, "0"), F.lit(") "), F.lpad(F.col("o").cast("string"), 3, "0"), F.lit("-0042"))
     new = numbers.select(said.alias("s")).select("s", pii._phone(F.col("s"), F.lit("k")).alias("x"))
     assert new.filter("x IS NULL OR x = s").count() == 0 and new.select("x").distinct().count() == numbers.count()
+
+
+def test_ibans_before_codes_and_numbers(spark):
+    ibans = ["BE68539007547034", "AT611904300234573201", "ES91 2100 0418 4502 0005 1332", "XX02 2100 0418 4502 0005 1332", "NO9386011117947"]
+    after = [" EUR 100", " USD", " 42", " EUR 7", " NOK 5"]
+    got = one(spark, *[f"to {i}{a}." for i, a in zip(ibans, after)], *[f"to {i} paid" for i in ibans])
+    for k, (i, a) in enumerate(zip(ibans, after)):
+        new = got[k].removeprefix("to ").removesuffix(f"{a}.")
+        flat = new.replace(" ", "")
+        assert new != i and len(new) == len(i) and new[:2] == i[:2] and got[k] == f"to {new}{a}." and got[k + 5] == f"to {new} paid"
+        assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
