@@ -219,6 +219,23 @@ def count_terms(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "token string, pos long, neg long").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def count_contexts(texts: DataFrame, candidates: set[str]) -> DataFrame:
+    """token, contexts: the different words that precede it.  Copies of a document
+    repeat its words with their neighbours, so they add documents, not contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for x in batch.column("text"):
+                before = ""
+                for w in tokens(x.as_py() or ""):
+                    found.update((f, before[:64]) for f in features({w}) if f in candidates)
+                    before = w
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([b for _, b in found], pa.string())], ["token", "before"])
+
+    return texts.mapInArrow(run, "token string, before string").distinct().groupBy("token").agg(F.count("*").alias("contexts"))
+
+
 def count_groups(toxic: DataFrame, candidates: set[str]) -> tuple[DataFrame, int]:
     """(doc_id, text) -> token, groups: the near-duplicate groups of documents with
     it; and the number of groups.  Copies of a document, exact or nearly so, are one
@@ -235,20 +252,21 @@ def count_groups(toxic: DataFrame, candidates: set[str]) -> tuple[DataFrame, int
     return each, groups.select("label").distinct().count()
 
 
-def _weight(pos: Column, neg: Column, toxic: int, clean: int) -> Column:
+def _weight(pos: Column, neg: Column, toxic: Column | int, clean: int) -> Column:
     """Log-odds of a term's documents, less their standard error."""
     rest = lambda n, x: F.greatest(F.lit(n) - x, F.lit(0)) + 0.5
     odds = F.log((pos + 0.5) / rest(toxic, pos)) - F.log((neg + 0.5) / rest(clean, neg))
     return odds - F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, max_terms: int = 4000, max_allowed: int = 20_000, min_docs: int = 3, least: float = 2.5, precision: float = 0.9) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, max_terms: int = 4000, max_allowed: int = 20_000, min_docs: int = 3, sure: int = 10, share: float = 0.05, least: float = 2.5, precision: float = 0.9) -> Model:
     """A model from the labelled rows that are not held out.
 
     At most about ``fit_rows`` of them, by a hash of their ids.  A term needs
     ``min_docs`` toxic documents, ``precision`` of its documents toxic and a
-    weight (log-odds less their standard error) of ``least``, toxic documents that are
-    near-duplicates counting as one.  Rows with null ids, texts or labels teach nothing.
+    weight (log-odds less their standard error) of ``least``, toxic documents counting by
+    near-duplicate groups where these are ``share`` of all and at least ``sure``, else
+    no more than the term has contexts.  Rows with null ids, texts or labels teach nothing.
     """
     y = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     y = y.filter(fold("doc_id", 3) != 1)
@@ -262,9 +280,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, max_terms: i
     good = terms.filter((F.col("pos") >= min_docs) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg"))))
     good = good.withColumn("w", _weight(F.col("pos"), F.col("neg"), pos, neg)).filter(F.col("w") >= least)
     candidates = {r.token for r in good.orderBy(F.desc("w"), "token").limit(4 * max_terms).select("token").collect()}
+    contexts = count_contexts(rows.filter("toxic = 1").select("text"), candidates)
     seen, groups = count_groups(rows.filter("toxic = 1"), candidates)
-    good = good.join(seen, "token").withColumn("pos", F.col("groups")).filter(F.col("pos") >= min_docs)
-    good = good.withColumn("w", _weight(F.col("pos"), F.col("neg"), groups, neg))
+    # passages copied into other documents make no near-duplicates: rarer terms need contexts
+    common = F.col("groups") >= max(sure, share * groups)
+    good = good.join(seen, "token").join(contexts, "token")
+    good = good.withColumn("pos", F.when(common, F.col("groups")).otherwise(F.least("pos", "contexts"))).filter(F.col("pos") >= min_docs)
+    good = good.withColumn("w", _weight(F.col("pos"), F.col("neg"), F.when(common, groups).otherwise(pos), neg))
     found = good.filter(F.col("w") >= least).orderBy(F.desc("w"), "token").limit(max_terms).collect()
     weights = {r.token: float(r.w) for r in found}
 
