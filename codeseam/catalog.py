@@ -169,6 +169,11 @@ def trigram_postings(spark, sf):
     return index.content_trigrams(docs(spark, sf)).filter(F.col("tri").startswith("pa")).select("tri", "doc_id", F.size("positions").cast("long").alias("n"))
 
 
+@query(f"SELECT tri, doc_id, count(*) AS n FROM ({_TRI}) GROUP BY tri, doc_id")
+def trigram_postings_all(spark, sf):
+    return index.content_trigrams(docs(spark, sf)).select("tri", "doc_id", F.size("positions").cast("long").alias("n"))
+
+
 @query(f"SELECT doc_id FROM ({_TRI}) WHERE tri IN ('pas', 'wor', 'ord') GROUP BY doc_id HAVING count(DISTINCT tri) = 3")
 def trigram_candidates(spark, sf):
     return index.candidates(index.document_trigrams(docs(spark, sf)), [frozenset({"pas", "wor", "ord"})]).select("doc_id")
