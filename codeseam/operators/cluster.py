@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeseam.operators.graph import cut
@@ -34,6 +34,32 @@ def _assigned(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     return rows.select("stable_id", "embedding").mapInPandas(run, f"stable_id {kind}, cluster int")
 
 
+def _moved(rows: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The centres at the means of their members; an empty cluster keeps its own.  A
+    task sends one sum a cluster it has members of, so k vectors a task move."""
+    unit = _unit(centres)
+
+    def run(parts):
+        total, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)
+        for p in parts:
+            if len(p):
+                m = np.vstack(p["embedding"].to_list()).astype(np.float64)
+                at = np.argmax(np.round(_unit(m) @ unit.T, 12), axis=1)
+                np.add.at(total, at, m)
+                n += np.bincount(at, minlength=len(n))
+        hit = np.flatnonzero(n)
+        yield pd.DataFrame({"cluster": hit.astype(np.int32), "n": n[hit], "total": list(total[hit])})
+
+    def added(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cluster": p["cluster"].iloc[:1], "mean": [np.sum(p["total"].to_list(), axis=0) / p["n"].sum()]})
+
+    sums = rows.select("embedding").mapInPandas(run, "cluster int, n long, total array<double>")
+    out = centres.copy()
+    for r in sums.groupBy("cluster").applyInPandas(added, "cluster int, mean array<double>").collect():  # k rows
+        out[r.cluster] = r.mean
+    return out
+
+
 def kmeans(rows: DataFrame, k: int, rounds: int = 10) -> DataFrame:
     """stable_id, cluster: centres begin as the first k vectors by id; a round
     assigns by cosine (ties to the lower index), then moves each centre to the
@@ -43,13 +69,9 @@ def kmeans(rows: DataFrame, k: int, rounds: int = 10) -> DataFrame:
     centres = np.array([r.embedding for r in rows.orderBy("stable_id").limit(k).collect()], dtype=np.float64)
     if not len(centres):
         return rows.select("stable_id", F.lit(0).alias("cluster"))
-    for i in range(rounds):
-        assigned = _assigned(rows, centres)
-        if i == rounds - 1:
-            return assigned
-        for r in centroids(rows.join(assigned, "stable_id"), unit=False).collect():  # k rows
-            centres[r.cluster] = r.centroid
-    return assigned
+    for _ in range(rounds - 1):
+        centres = _moved(rows, centres)
+    return _assigned(rows, centres)
 
 
 def centroids(members: DataFrame, unit: bool = True) -> DataFrame:
@@ -63,8 +85,10 @@ def centroids(members: DataFrame, unit: bool = True) -> DataFrame:
     return c.join(about, "cluster")
 
 
-def default_k(n: int) -> int:
-    return min(n, max(2, round(math.sqrt(n)))) if n else 0
+def default_k(n: int, most: int = 4096) -> int:
+    """The root of the row count, but no more than ``most``: k centres are what the
+    driver and every task hold."""
+    return min(n, most, max(2, round(math.sqrt(n)))) if n else 0
 
 
 def first_layer(rows: DataFrame, k: int = 0, repo: str | None = None, summarise=lambda label: "") -> DataFrame:
@@ -119,6 +143,21 @@ def cluster_relations(clusters: DataFrame, commits: DataFrame | None = None) ->
     return rel.unionByName(c.distinct())
 
 
+def cluster_snippets(clusters: DataFrame, rows: DataFrame, most: int = 20, look: int = 100) -> DataFrame:
+    """cluster, snippets: texts of the members nearest to the centroid, up to
+    ``most`` of them among the first ``look`` that have one.  rows: (stable_id,
+    embedding, source_content)."""
+    from codeseam.functions.vectors import cosine_distance
+
+    m = clusters.select(F.col("stable_id").alias("cluster"), "centroid", F.explode("members").alias("member"))
+    r = rows.select(F.col("stable_id").cast("string").alias("member"), "embedding", "source_content")
+    near = m.join(r, "member").withColumn("distance", cosine_distance(F.col("embedding"), F.col("centroid")))
+    rank = Window.partitionBy("cluster").orderBy("distance", "member")
+    near = near.withColumn("nth", F.row_number().over(rank)).filter(F.col("nth") <= look).filter("source_content IS NOT NULL AND source_content <> ''")
+    kept = near.withColumn("pick", F.row_number().over(Window.partitionBy("cluster").orderBy("nth"))).filter(F.col("pick") <= most)
+    return kept.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pick", "source_content"))), lambda s: s["source_content"]).alias("snippets"))
+
+
 def retrieve(rows: DataFrame, clusters: DataFrame, query: list[float], k: int, repos: list[str] | None = None, sample: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The k nearest rows (of the allowed repositories), and the clusters that
     have any of them as a member."""

@@ -51,7 +51,7 @@ def _block_bodies(content: str, word: str) -> list[tuple[int, str]]:
     return out
 
 
-_CONF = r"(?P<kind>[A-Za-z]*(?:[iI]mplementation|[aA]pi|[cC]ompileOnly|[rR]untimeOnly|[kK]apt|[cC]lasspath|annotationProcessor))"
+_CONF = r"\b(?P<kind>[A-Za-z]*(?:[iI]mplementation|[aA]pi|[cC]ompile(?:Only)?|[rR]untimeOnly|[kK]apt|[cC]lasspath|annotationProcessor))"
 _LITERAL = re.compile(_CONF + r"""\s*\(?\s*["'](?P<g>[^"':]+):(?P<n>[^"':]+)(?::(?P<v>[^"']+))?["']""")
 _NAMED = re.compile(_CONF + r"""\s*\(?\s*group\s*[:=]\s*["'](?P<g>[^"']+)["']\s*,\s*name\s*[:=]\s*["'](?P<n>[^"']+)["'](?:\s*,\s*version\s*[:=]\s*["'](?P<v>[^"']+)["'])?""")
 _PROJECT = re.compile(_CONF + r"""\s*\(?\s*project\s*\(\s*(?:path\s*[:=]\s*)?["'](?P<n>:[^"']+)["']""")
@@ -162,3 +162,16 @@ def dependencies_for_branches(deps: DataFrame, asked: DataFrame) -> DataFrame:
     cand = asked.select("repo", F.posexplode(F.array("branch", F.lit("main"), F.lit("master"), F.lit("trunk"))).alias("p", "branch"))
     hits = deps.join(cand, ["repo", "branch"])
     return hits.withColumn("fit", F.dense_rank().over(Window.partitionBy("repo").orderBy("p"))).filter("fit = 1").select("repo", "branch", "name", "version").distinct().orderBy("repo", F.lower("name"))
+
+
+def repository_dependencies(declared: DataFrame, components: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (repo, branch or null) -> repo, name, version, source, by name: what the
+    repository declares on the first branch that has any of: asked, main, master,
+    trunk; where none has, the components of its bill of materials, those of a
+    commit before those of none."""
+    own = dependencies_for_branches(declared, asked).select("repo", "name", "version", F.lit("manifest").alias("source"))
+    rest = asked.select("repo").distinct().join(own.select("repo"), "repo", "left_anti")
+    c = components.join(rest, "repo")
+    first = Window.partitionBy("repo").orderBy(F.col("commit").isNull(), F.desc("commit"))
+    bill = c.withColumn("fit", F.dense_rank().over(first)).filter("fit = 1").select("repo", "name", "version", F.lit("sbom").alias("source")).distinct()
+    return own.unionByName(bill).orderBy("repo", F.lower("name"), "version")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeseam.sources.folders import written
+
 WEIGHTS = {"call": 1.0, "import": 0.5, "containment": 0.25}
 
 
@@ -31,16 +33,8 @@ def entity_graph(edges: DataFrame, entities: DataFrame, stable_id, limit: int =
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage: a reliable checkpoint where a folder is set for it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        uri = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if uri is None:
-            import tempfile
-
-            uri = tempfile.mkdtemp(prefix="codeseam-graph-")
-        sc.setCheckpointDir(uri)
-    return df.checkpoint()
+    """Cuts lineage by a table in the shared folder."""
+    return written(df, "graph")
 
 
 def reachable(edges: DataFrame, start, depth: int, forward: bool = True, kind: str | None = "call") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeseam.functions import text as T
-from codeseam.operators.search import literal_column, regex_column
+from codeseam.operators.search import file_filters, literal_column, regex_column, repo_filter, results
+from codeseam.plans import querylang as ql
 from codeseam.plans.regexlang import prefilter, trigrams_of
 
 
@@ -64,21 +65,89 @@ def totals(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("n_bytes"))
 
 
-VERSION = 1
+VERSION = 2
+TABLES = ("docs", "symbols", "content_tri", "symbol_tri", "terms")
 
 
 def write_index(docs: DataFrame, symbols: DataFrame, path: str, version: int = VERSION) -> None:
-    """A folder of Parquet tables, by repository and sorted by trigram, so a look-up
-    of a few trigrams reads a few row groups."""
-    docs.withColumn("version", F.lit(version)).write.mode("overwrite").partitionBy("repo").parquet(f"{path}/docs")
-    symbols.write.mode("overwrite").partitionBy("repo").parquet(f"{path}/symbols")
-    content_trigrams(docs).repartitionByRange("repo", "tri").sortWithinPartitions("repo", "tri", "doc_id").write.mode("overwrite").partitionBy("repo").parquet(f"{path}/content_tri")
-    symbol_trigrams(symbols).repartitionByRange("tri").sortWithinPartitions("tri").write.mode("overwrite").parquet(f"{path}/symbol_tri")
-    terms(docs).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/terms")
+    """A folder of Parquet tables, each in the order of what it is asked by, in
+    ranges: a look-up of a few trigrams, terms or documents reads a few row groups.
+    A frequent trigram is many ranges, by document."""
+
+    def put(name: str, rows: DataFrame, *order: str) -> None:
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/{name}")
+
+    put("docs", docs, "repo", "doc_id")
+    put("symbols", symbols, "repo", "doc_id", "start")
+    put("content_tri", content_trigrams(docs), "tri", "repo", "doc_id")
+    put("symbol_tri", symbol_trigrams(symbols), "tri", "repo", "doc_id")
+    put("terms", terms(docs), "token", "repo", "doc_id")
+    totals(docs).withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def open_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    tables = {t: spark.read.parquet(f"{path}/{t}") for t in ("docs", "symbols", "content_tri", "symbol_tri", "terms")}
-    if tables["docs"].filter(F.col("version") != VERSION).limit(1).count():
+    meta = spark.read.parquet(f"{path}/meta")
+    if meta.filter(F.col("version") != VERSION).limit(1).count():
         raise ValueError("index of another version")
-    return tables
+    return {t: spark.read.parquet(f"{path}/{t}") for t in TABLES} | {"meta": meta}
+
+
+def _among(docs: DataFrame, found: DataFrame) -> DataFrame:
+    return docs.join(found.select("repo", "doc_id"), ["repo", "doc_id"], "left_semi")
+
+
+def content_candidates(tables: dict[str, DataFrame], plan: ql.QueryPlan, mode: str = "term_first") -> tuple[DataFrame, bool]:
+    """Documents whose content may match the plan's pattern, by the index, and
+    whether they surely do (a term)."""
+    docs = tables["docs"]
+    if plan.regex:
+        needs = prefilter(plan.pattern)
+    else:
+        if mode == "term_first" and not plan.case_sensitive:
+            of = tables["terms"].filter(F.col("token") == plan.pattern.lower())
+            if not of.isEmpty():  # reads the row groups of one token
+                return _among(docs, of), True
+        one = trigrams_of(plan.pattern)
+        needs = [one] if one else None
+    return (docs if needs is None else _among(docs, candidates(tables["content_tri"], needs))), False
+
+
+def matching(tables: dict[str, DataFrame], plan: ql.QueryPlan | str, mode: str = "term_first") -> DataFrame:
+    """What ``search.matching`` finds, read from the index: candidates by term or
+    trigram, tested; paths are tested on a scan that reads no content."""
+    plan = ql.parse(plan) if isinstance(plan, str) else plan
+    docs = tables["docs"]
+    scope = reduce(lambda a, b: a & b, [repo_filter(plan), *file_filters(plan)])
+    if not plan.pattern:
+        return docs.filter(scope)
+    by_path = docs.filter(scope & literal_column(plan.pattern, plan.case_sensitive, F.col("path")))
+    if plan.path_only and not plan.content_only:
+        return by_path
+    rows, sure = content_candidates(tables, plan, mode)
+    rows = rows.filter(scope)
+    if not sure:
+        rows = rows.filter(regex_column(plan.pattern, plan.case_sensitive) if plan.regex else literal_column(plan.pattern, plan.case_sensitive))
+    if plan.content_only:
+        return rows
+    more = by_path.join(rows.select("repo", "doc_id"), ["repo", "doc_id"], "left_anti")
+    return rows.unionByName(more)
+
+
+def symbol_candidates(tables: dict[str, DataFrame], plan: ql.QueryPlan) -> DataFrame:
+    """(repo, doc_id) of documents that may have a symbol the pattern names: by the
+    trigrams of symbols where the pattern surely needs some, else all with symbols."""
+    needs = prefilter(plan.pattern) if plan.regex else [trigrams_of(plan.pattern)]
+    if not needs or not all(needs):
+        return tables["symbols"].select("repo", "doc_id").distinct()
+    return candidates(tables["symbol_tri"], needs)
+
+
+def search_index(tables: dict[str, DataFrame], plan: ql.QueryPlan | str, mode: str = "term_first") -> DataFrame:
+    """``search.search`` over an index."""
+    plan = ql.parse(plan) if isinstance(plan, str) else plan
+    found = matching(tables, plan, mode)
+    symbols = tables["symbols"]
+    if plan.select == "symbol" and plan.pattern:
+        near = symbol_candidates(tables, plan)
+        found, symbols = _among(found, near), _among(symbols, near)
+    return results(found, plan, symbols)

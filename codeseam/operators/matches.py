@@ -7,29 +7,19 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeseam.functions.text import trim_first, trim_last
+from codeseam.functions.text import let, located, newlines, running, trim_first, trim_last
 from codeseam.plans.regexlang import to_java
 
 
-def hits_of(content: Column, java: str) -> Column:
-    """Leftmost non-overlapping hits as an array of (start, end, hit), in
-    characters from 0, end exclusive: what lies between hits gives the places."""
-    hits, gaps = F.regexp_extract_all(content, F.lit(java), F.lit(0)), F.split(content, java, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+def matches(docs: DataFrame, pattern: str, regex: bool = False, case_sensitive: bool = True, context: int = 0, path_prefix: str | None = None, path_regex: str | None = None, branch: str | None = None, limit: int | None = None, text: bool = True) -> DataFrame:
+    """A row a hit: repo, doc_id, path, line (from 1), start_byte, end_byte, hit,
+    and with ``text`` before, line_text, after: ``context`` characters of the line
+    on either side, and its text.  Hits of zero length are none.
 
-    def step(a: Column, i: Column) -> Column:
-        start = a["at"] + F.length(gaps[i])
-        end = start + F.length(hits[i])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), hits[i].alias("hit")))).alias("out"))
-
-    found = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
-    return F.when(F.size(hits) > 0, found).otherwise(empty)
-
-
-def matches(docs: DataFrame, pattern: str, regex: bool = False, case_sensitive: bool = True, context: int = 0, path_prefix: str | None = None, path_regex: str | None = None, branch: str | None = None, limit: int | None = None) -> DataFrame:
-    """A row a hit: repo, doc_id, path, line (from 1), start_byte, end_byte,
-    before, line_text, after; ``context`` characters of the line on either side.
-    Hits of zero length are none."""
+    Places and lines are made within the document's row, from what lies between
+    hits; the content itself isn't carried along with every hit.  Linear in the
+    document; with ``text`` also in the texts returned.
+    """
     java = to_java(pattern, not case_sensitive) if regex else ("" if case_sensitive else "(?iu)") + re.escape(pattern)
     if path_prefix is not None:
         docs = docs.filter(F.col("path").startswith(path_prefix))
@@ -40,15 +30,30 @@ def matches(docs: DataFrame, pattern: str, regex: bool = False, case_sensitive:
     if java is None or not pattern:
         java = "(?!)"
     c = F.col("content")
-    each = docs.filter(c.rlike(java)).select("repo", "doc_id", "path", "content", F.explode(hits_of(c, java)).alias("h")).filter("h.end > h.start")
-    head = F.substring("content", F.lit(1), F.col("h.start"))
-    line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
-    before = F.substring_index(head, "\n", -1)
-    tail = F.substring_index(F.substring("content", F.col("h.end") + 1, F.length("content")), "\n", 1)
-    out = each.select(
-        "repo", "doc_id", "path", line.alias("line"), F.octet_length(head).alias("start_byte"), (F.octet_length(head) + F.octet_length("h.hit")).alias("end_byte"),
-        trim_last(before, context).alias("before"), F.concat(before, "h.hit", tail).alias("line_text"), trim_first(tail, context).alias("after"), F.col("h.hit").alias("hit"),
-    )
+    found = F.filter(located(c, java, start=F.length, byte=F.octet_length, line=newlines), lambda h: h["end"] > h["start"])
+    own = lambda h: [(h["line"] + 1).alias("line"), h["byte"].alias("start_byte"), (h["byte"] + F.octet_length(h["hit"])).alias("end_byte"), h["hit"].alias("hit")]
+    if text:
+
+        def with_text(t: Column) -> Column:
+            def row(h: Column) -> Column:
+                last = h["line"] + newlines(h["hit"])
+                before = F.substring(F.get(t["lines"], h["line"]), F.lit(1), h["start"] - F.get(t["starts"], h["line"]))
+                tail = F.get(t["lines"], last)
+                after = F.substring(tail, h["end"] - F.get(t["starts"], last) + 1, F.length(tail))
+                return F.struct(*own(h), before.alias("b"), after.alias("a"))
+
+            return F.transform(found, row)
+
+        table = let(F.split(c, "\n", -1), lambda ls: F.struct(ls.alias("lines"), running(F.transform(ls, lambda x: F.length(x) + 1)).alias("starts")))
+        rows = let(table, with_text)
+    else:
+        rows = F.transform(found, lambda h: F.struct(*own(h)))
+    out = docs.filter(c.rlike(java)).select("repo", "doc_id", "path", F.explode(rows).alias("h"))
+    cols = ["repo", "doc_id", "path", "h.line", "h.start_byte", "h.end_byte"]
+    if text:
+        out = out.select(*cols, trim_last(F.col("h.b"), context).alias("before"), F.concat("h.b", "h.hit", "h.a").alias("line_text"), trim_first(F.col("h.a"), context).alias("after"), "h.hit")
+    else:
+        out = out.select(*cols, "h.hit")
     return out if limit is None else out.orderBy("repo", "path", "start_byte").limit(limit)
 
 
@@ -68,25 +73,32 @@ def snippet_terms(needle: str) -> str:
 
 def snippets(docs: DataFrame, needle: str, context: int = 2) -> DataFrame:
     """repo, doc_id, path, snippet: hit lines and ``context`` lines around, numbered,
-    touching stretches joined, others parted by '...'.  Row local."""
+    touching stretches joined, others parted by '...'.  Row local, linear in lines."""
     test = snippet_terms(needle)
-    ls = F.split("content", "\n", -1)
-    numbered = F.transform(ls, lambda t, i: F.struct(i.alias("i"), t.alias("t"), t.rlike(test).alias("hit")))
-    hit = F.transform(F.filter("ls", lambda x: x["hit"]), lambda x: x["i"])
-    shown = F.filter("ls", lambda x: F.exists("hits", lambda h: F.abs(h - x["i"]) <= context))
+    numbered = F.transform(F.split("content", "\n", -1), lambda t, i: F.struct(i.alias("i"), t.alias("t"), t.rlike(test).alias("hit")))
+    flags = F.transform("ls", lambda x: x["hit"])
 
-    def put(a: Column, x: Column) -> Column:
-        gap = F.when((a["last"] >= 0) & (x["i"] > a["last"] + 1), "...\n").otherwise("")
-        said = F.concat(F.lpad((x["i"] + 1).cast("string"), 6, " "), F.when(x["hit"], " > ").otherwise("   "), x["t"], F.lit("\n"))
-        return F.struct(F.concat(a["out"], gap, said).alias("out"), x["i"].alias("last"))
+    def near(x: Column) -> Column:
+        first = F.greatest(x["i"] - context, F.lit(0))
+        return F.exists(F.slice("flags", first + 1, x["i"] - first + context + 1), lambda hit: hit)
 
-    body = F.aggregate(shown, F.struct(F.lit("").alias("out"), F.lit(-1).alias("last")), put, lambda a: a["out"])
-    return docs.filter(F.col("content").rlike(test)).withColumn("ls", numbered).withColumn("hits", hit).select("repo", "doc_id", "path", body.alias("snippet"))
+    def said(x: Column, j: Column) -> Column:
+        gap = F.when((j > 0) & (F.get("shown", j - 1)["i"] < x["i"] - 1), "...\n").otherwise("")
+        return F.concat(gap, F.lpad((x["i"] + 1).cast("string"), 6, " "), F.when(x["hit"], " > ").otherwise("   "), x["t"], F.lit("\n"))
+
+    rows = docs.filter(F.col("content").rlike(test)).select("repo", "doc_id", "path", numbered.alias("ls"))
+    rows = rows.withColumn("flags", flags).withColumn("shown", F.filter("ls", near))
+    return rows.select("repo", "doc_id", "path", F.array_join(F.transform("shown", said), "").alias("snippet"))
 
 
 def nearest_symbol(hits: DataFrame, symbols: DataFrame) -> DataFrame:
-    """hits with symbol: the last one that starts at or before the hit."""
+    """hits with symbol: the last one that starts at or before the hit.  An as-of
+    join: both sides in one order within a document, the last symbol carried on."""
+    from pyspark.sql import Window
+
     key = ["repo", "doc_id"]
-    by_doc = symbols.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "name"))).alias("syms"))
-    last = F.element_at(F.filter("syms", lambda s: s["start"] <= F.col("start_byte")), -1)
-    return hits.join(by_doc, key, "left").withColumn("symbol", F.when(F.size(F.filter("syms", lambda s: s["start"] <= F.col("start_byte"))) > 0, last["name"])).drop("syms")
+    marks = symbols.select(*key, F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.col("name").alias("symbol"), F.lit(None).cast(hits.select(F.struct("*")).schema[0].dataType).alias("__row"))
+    asked = hits.select(*key, F.col("start_byte").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("string").alias("symbol"), F.struct("*").alias("__row"))
+    before = Window.partitionBy(*key).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = marks.unionByName(asked).withColumn("symbol", F.last("symbol", ignorenulls=True).over(before))
+    return both.filter("__kind = 1").select("__row.*", "symbol")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeseam.functions.text import TOKEN_SPLIT, ascii_lower
@@ -116,7 +116,11 @@ def search(docs: DataFrame, plan: ql.QueryPlan | str, symbols: DataFrame | None
     matching documents whose names match, score 2.
     """
     plan = ql.parse(plan) if isinstance(plan, str) else plan
-    found = matching(docs, plan, mode)
+    return results(matching(docs, plan, mode), plan, symbols)
+
+
+def results(found: DataFrame, plan: ql.QueryPlan, symbols: DataFrame | None) -> DataFrame:
+    """The result rows of matching documents."""
     none = lambda t, n: F.lit(None).cast(t).alias(n)
     blank = [none("string", "symbol"), none("int", "symbol_start"), none("int", "symbol_line")]
     if plan.select == "repo":
@@ -153,10 +157,27 @@ def merge_results(parts: list[DataFrame], limit: int | None = 100) -> DataFrame:
 def page(df: DataFrame, order: list, start: int, limit: int) -> DataFrame:
     """Rows start .. start + limit - 1 in the given (total) order, and has_more."""
     rows = df.orderBy(*order).offset(start).limit(limit + 1)
-    from pyspark.sql import Window
-
-    w = Window.orderBy(*order)
-    return rows.withColumn("rn", F.row_number().over(w)).withColumn("has_more", F.count("*").over(Window.partitionBy()) > limit).filter(F.col("rn") <= limit).drop("rn")
+    # at most limit + 1 rows: numbered in one task, which the top-k ends in anyway
+    every = Window.partitionBy(F.lit(0))
+    numbered = rows.withColumn("__rn", F.row_number().over(every.orderBy(*order))).withColumn("has_more", F.count("*").over(every) > limit)
+    return numbered.filter(F.col("__rn") <= limit).drop("__rn")
+
+
+def distributed(indexes: dict[str, DataFrame], line: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), start: int = 0, limit: int = 100, mode: str = "substring", symbols: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One query over the indexes of several nodes: file patterns to include and to
+    exclude hold on every one, equal hits count once, a page in a stable order,
+    with node_id (of equal hits, the least) and has_more."""
+    plan = ql.parse(line)
+    parts = []
+    for node, docs in indexes.items():
+        if include:
+            docs = docs.filter(_any([regex_column(p, False, F.col("path")) for p in include]))
+        for p in exclude:
+            docs = docs.filter(~F.coalesce(regex_column(p, False, F.col("path")), F.lit(False)))
+        parts.append(search(docs, plan, (symbols or {}).get(node), mode).withColumn("node_id", F.lit(node)))
+    key = ["repo", "path", "symbol", "symbol_line"]
+    rows = reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.min("node_id").alias("node_id"), F.max("score").alias("score"))
+    return page(rows, [F.desc("score"), *key], start, limit)
 
 
-__all__ = ["ascii_lower", "boolean_column", "matching", "merge_results", "page", "search", "search_boolean", "visible"]
+__all__ = ["ascii_lower", "boolean_column", "distributed", "matching", "merge_results", "page", "results", "search", "search_boolean", "visible"]

@@ -1,20 +1,24 @@
 """Vector search and similarity edges over (stable_id, repo, embedding).
 
-Similarity joins are exact.  Both sides are cut in blocks (a hash of the id); a
-task compares a block of sources with a block of candidates by one matrix
-product, keeps each source's best k, and a window merges those: a row goes to
-as many tasks as the other side has blocks, never a pair of rows through a
-shuffle.
+Similarity joins are exact.  Vectors are written once, in blocks, to the shared
+folder (mounted on executors); a task maps a block of sources and a block of
+candidates, compares them by matrix products and keeps each source's best k; a
+window merges those.  Neither vectors nor pairs of rows go through a shuffle.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeseam.functions.vectors import cosine
+from codeseam.functions.vectors import cosine, norm
+from codeseam.sources.folders import mounted, written
 
 
 def cosine_top_k(candidates: DataFrame, query: list[float], k: int, sample: int | None = None) -> DataFrame:
@@ -26,59 +30,83 @@ def cosine_top_k(candidates: DataFrame, query: list[float], k: int, sample: int
     return rows.withColumn("score", cosine(F.col("embedding"), q)).filter("score IS NOT NULL").orderBy(F.desc("score"), "stable_id").limit(k)
 
 
-def _block_pairs(snapshots: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
-    rows = snapshots.select("stable_id", "repo", "embedding").withColumn("b", F.pmod(F.xxhash64("stable_id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.select("*", F.explode(every).alias("o")).withColumn("task", F.col("b") * blocks + F.col("o"))
-    right = rows.select("*", F.explode(every).alias("o")).withColumn("task", F.col("o") * blocks + F.col("b"))
-    return left, right
+def _write_blocks(snapshots: DataFrame, folder: str, rows_a_block: int) -> DataFrame:
+    """Unit vectors in the order of (length, repo, id), in files of about
+    ``rows_a_block``; returns (file, d, low, high): a row a file and length, with
+    the repositories it begins and ends with."""
+    e = F.col("embedding").cast("array<double>")
+    rows = snapshots.filter("embedding IS NOT NULL AND size(embedding) > 0").select("stable_id", F.coalesce(F.col("repo").cast("string"), F.lit("")).alias("repo"), e.alias("v"), F.size("embedding").alias("d"))
+    n = norm(F.col("v"))
+    rows = rows.filter((n > 0) & (n < float("inf")))
+    files = max(1, -(-rows.count() // rows_a_block))
+    spread = rows.repartitionByRange(files, "d", "repo", "stable_id").sortWithinPartitions("d", "repo", "stable_id")
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        i, held = TaskContext.get().partitionId(), {}
+        for p in parts:
+            for d, g in p.groupby("d"):
+                held.setdefault(int(d), []).append(g)
+        for d, gs in held.items():
+            g = pd.concat(gs, ignore_index=True)
+            m = np.vstack(g["v"].to_list()).astype(np.float64)
+            m /= np.linalg.norm(m, axis=1)[:, None]
+            for what, a in (("m", m), ("id", g["stable_id"].to_numpy()), ("repo", g["repo"].to_numpy(object))):
+                tmp = f"{folder}/{i}-{d}.{what}.{uuid.uuid4().hex}"
+                with open(tmp, "wb") as f:
+                    np.save(f, a, allow_pickle=True)
+                os.replace(tmp, f"{folder}/{i}-{d}.{what}")
+            yield pd.DataFrame({"file": [i], "d": [d], "low": [g["repo"].iloc[0]], "high": [g["repo"].iloc[-1]]})
+
+    return written(spread.mapInPandas(write, "file int, d int, low string, high string"), "similar-blocks")
 
 
 def similar_edges(snapshots: DataFrame, scope: str = "same", max_edges: int | None = None, threshold: float | None = None, min_store: float = 0.0, rows_a_block: int = 4096) -> DataFrame:
     """src, dst, score, scope: of every source its ``max_edges`` nearest (10 in the
     same repository, 25 in others), and of those the ones of the threshold (0.85,
-    0.90); an edge found from both ends is stored once, smaller id first."""
+    0.90); an edge found from both ends is stored once, smaller id first.
+
+    Vectors lie in files by repository; a task maps two of them.  Within
+    repositories only files that share one are compared; across them all are, but
+    for two that hold one and the same.
+    """
     same = scope == "same"
     k = max_edges if max_edges is not None else 10 if same else 25
     least = threshold if threshold is not None else 0.85 if same else 0.90
-    blocks = max(1, -(-snapshots.count() // rows_a_block))
-    left, right = _block_pairs(snapshots, blocks)
-
-    def unit(p: pd.DataFrame) -> dict[int, tuple[np.ndarray, pd.DataFrame]]:
-        out = {}
-        ok = p["embedding"].map(lambda v: v is not None and len(v) > 0)
-        p = p[ok.to_numpy(bool)]
-        for d, g in p.groupby(p["embedding"].map(len)):
-            m = np.vstack(g["embedding"].to_list()).astype(np.float64)
-            n = np.linalg.norm(m, axis=1)
-            good = np.isfinite(n) & (n > 0)
-            out[d] = m[good] / n[good, None], g[good]
-        return out
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"src": a["stable_id"][:0], "dst": b["stable_id"][:0], "score": np.empty(0)})]
-        right_units = unit(b)
-        for d, (m, rows) in unit(a).items():
-            if d not in right_units:
-                continue
-            n, others = right_units[d]
-            ids, repos = others["stable_id"].to_numpy(), others["repo"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            n, ids, repos = n[order], ids[order], repos[order]
-            for i in range(0, len(m), 256):
-                s = np.round(m[i : i + 256] @ n.T, 12)
-                for x, (row_id, repo) in enumerate(zip(rows["stable_id"].iloc[i : i + 256], rows["repo"].iloc[i : i + 256])):
-                    fit = (repos == repo) if same else (repos != repo)
-                    fit &= ids != row_id
-                    at = np.flatnonzero(fit)
-                    best = at[np.argsort(-s[x, at], kind="stable")[:k]]
-                    found.append(pd.DataFrame({"src": row_id, "dst": ids[best], "score": s[x, best]}))
-        return pd.concat(found, ignore_index=True)
+    folder = mounted(snapshots.sparkSession, "similar")
+    blocks = _write_blocks(snapshots, folder, rows_a_block)
+    other = blocks.select(F.col("file").alias("o"), "d", F.col("low").alias("o_low"), F.col("high").alias("o_high"))
+    touching = (F.col("low") <= F.col("o_high")) & (F.col("o_low") <= F.col("high"))
+    one = (F.col("low") == F.col("high")) & (F.col("o_low") == F.col("o_high")) & (F.col("low") == F.col("o_low"))
+    pairs = blocks.join(other, "d").filter(touching if same else ~one).select("file", "o", "d")
+    width = max(1, min(pairs.count(), 20_000))
+
+    def read(i: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = lambda what, **x: np.load(f"{folder}/{i}-{d}.{what}", **x)
+        return at("m", mmap_mode="r"), at("id", allow_pickle=True), at("repo", allow_pickle=True)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for i, o, d in zip(p["file"], p["o"], p["d"]):
+                m, ids, repos = read(i, d)
+                n, to, to_repos = read(o, d)
+                order = np.argsort(to, kind="stable")  # ties go to the smaller id
+                n, to, to_repos = n[order], to[order], to_repos[order]
+                for s in range(0, len(m), 256):
+                    score = np.round(m[s : s + 256] @ n.T, 12)
+                    fit = repos[s : s + 256, None] == to_repos[None, :]
+                    fit = (fit if same else ~fit) & (ids[s : s + 256, None] != to[None, :])
+                    score[~fit] = -np.inf
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    found = np.take_along_axis(score, best, axis=1)
+                    r, c = np.nonzero(found > -np.inf)
+                    yield pd.DataFrame({"src": ids[s : s + 256][r], "dst": to[best[r, c]], "score": found[r, c]})
 
     kind = snapshots.schema["stable_id"].dataType.simpleString()
-    pairs = left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(compare, f"src {kind}, dst {kind}, score double")
+    near = pairs.repartition(width, F.xxhash64("file", "o", "d")).mapInPandas(run, f"src {kind}, dst {kind}, score double")
     w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
-    kept = pairs.withColumn("rn", F.row_number().over(w)).filter((F.col("rn") <= k) & ~((F.col("score") < least) & (F.col("score") >= min_store)))
+    kept = near.withColumn("rn", F.row_number().over(w)).filter((F.col("rn") <= k) & ~((F.col("score") < least) & (F.col("score") >= min_store)))
     return kept.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "score", F.lit(scope).alias("scope")).dropDuplicates(["src", "dst"])
 
 

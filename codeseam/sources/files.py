@@ -2,64 +2,65 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeseam.functions.text import is_text, language
+from codeseam.functions.text import language
+from codeseam.sources.tree import TreeSource
 
 
 @dataclass(frozen=True)
 class WalkOptions:
     max_file_size: int = 1_000_000
+    follow_symlinks: bool = False
     include_hidden: bool = False
     include_regex: str | None = None
     exclude_regex: str | None = None
-    branches: tuple[str, ...] = ("HEAD",)
-
-
-def ignore_lines(root: str) -> list[str]:
-    path = os.path.join(root, ".gitignore")
-    if not os.path.exists(path):
-        return []
-    with open(path, encoding="utf-8", errors="replace") as f:
-        return [x.strip() for x in f if x.strip() and not x.startswith("#")]
-
-
-def _ignored(lines: list[str]) -> str:
-    """A pattern for relative paths that the root's ignore lines cover."""
-    out = []
-    for x in lines:
-        body = fnmatch.translate(x.strip("/")).removesuffix(r"\z").removesuffix(r"\Z")
-        out.append(("^" if x.startswith("/") else "(?:^|.*/)") + body + r"(?:/.*)?$")
-    return "|".join(out) or "(?!)"
+    branches: tuple[str, ...] | None = None  # of a clone; None: the tree as it lies
+    max_branches: int = 1
+    symbols: bool = True
 
 
 def working_tree(spark: SparkSession, root: str, repo: str | None = None, options: WalkOptions = WalkOptions()) -> DataFrame:
     """repo, doc_id, path, lang, branches, content, size, is_text of a tree's files.
-    Size and path are filtered before any content is read."""
+
+    Ignore files of all folders hold; hidden files and links are left out unless
+    asked for; size and path are tested before any content is read.  Content is
+    decoded with replacement; empty files are binary, binary ones have none.
+    With ``branches``, or more than one branch, the branches of a clone instead.
+    """
+    from codeseam.sources.git import branch_documents
+
     root = os.path.abspath(root)
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(root) + "/", "")
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load("file://" + root).filter(F.col("length") <= options.max_file_size)
-    df = df.withColumn("path", rel).filter(~F.col("path").rlike(_ignored(ignore_lines(root))) & ~F.col("path").rlike(r"^\.git/"))
-    if not options.include_hidden:
-        df = df.filter(~F.col("path").rlike(r"(?:^|/)\.[^/]"))
-    if options.include_regex:
-        df = df.filter(F.col("path").rlike(options.include_regex))
-    if options.exclude_regex:
-        df = df.filter(~F.col("path").rlike(options.exclude_regex))
     name = repo or os.path.basename(root).removesuffix(".git")
-    return df.select(
+    if options.branches is not None or options.max_branches > 1:
+        return branch_documents(spark, root, name, list(options.branches) if options.branches else None, options.max_branches, options.max_file_size)
+    spark.dataSource.register(TreeSource)
+    said = {"include_hidden": options.include_hidden, "follow_symlinks": options.follow_symlinks}
+    reader = spark.read.format(TreeSource.name()).options(**{k: str(v).lower() for k, v in said.items()}).option("max_file_size", str(options.max_file_size))
+    for k in ("include_regex", "exclude_regex"):
+        if getattr(options, k):
+            reader = reader.option(k, getattr(options, k))
+    return reader.load(root).select(
         F.lit(name).alias("repo"), F.xxhash64(F.lit(name), "path").alias("doc_id"), "path", language(F.col("path")).alias("lang"),
-        F.array(*map(F.lit, options.branches)).alias("branches"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), is_text(F.col("content")).alias("is_text"),
+        F.array(F.lit("HEAD")).alias("branches"), "content", "size", "is_text",
     )
 
 
+def tree_and_symbols(spark: SparkSession, root: str, repo: str | None = None, options: WalkOptions = WalkOptions()) -> tuple[DataFrame, DataFrame]:
+    """The documents of a tree and the symbols of its text files (none where the
+    options say so), as ``index.write_index`` takes them."""
+    from codeseam.operators.extract import symbols
+
+    docs = working_tree(spark, root, repo, options)
+    found = symbols(docs.filter("is_text"))
+    return docs, found if options.symbols else found.limit(0)
+
+
 def as_documents(table: DataFrame) -> DataFrame:
     """A corpus (doc_id, text, lang, source) as searchable documents."""
     return table.select(F.col("source").alias("repo"), "doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "lang", F.array(F.lit("main")).alias("branches"), F.col("text").alias("content"))

@@ -34,6 +34,12 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None =
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """key, window, n: runs of events of a key without a pause of ``gap`` (an
+    extension: the queues this follows have no notion of it)."""
+    return events.withWatermark("ts", late).groupBy(key, F.session_window("ts", gap).alias("window")).agg(F.count("*").alias("n"))
+
+
 def last_state(events: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Last-write-wins rows by (ts, event_id)."""
     return events.groupBy(*key).agg(F.max_by(F.struct(*columns), F.struct("ts", "event_id")).alias("s")).select(*key, "s.*")
@@ -69,13 +75,23 @@ LEASE_OUT = "repo string, time double, action string, holder string, granted boo
 
 
 def leases(requests: DataFrame) -> DataFrame:
-    """(repo, time, action, holder, ttl) as a batch, all requests of a repo in order."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        _, out = lease_steps(None, list(zip(p["time"], p["action"], p["holder"], p["ttl"])))
-        return pd.DataFrame([(p["repo"].iloc[0], *o) for o in out], columns=["repo", "time", "action", "holder", "granted"])
-
-    return requests.groupBy("repo").applyInPandas(run, LEASE_OUT)
+    """(repo, time, action, holder, ttl) as a batch, all requests of a repo in order.
+    A task goes through its rows in the order of (repo, time) and keeps the lease
+    that runs, so a repository of any length needs no more memory than a batch."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repo, state = None, None
+        for p in parts:
+            out = []
+            for r in p.itertuples(index=False):
+                if r.repo != repo:
+                    repo, state = r.repo, None
+                state, one = lease_steps(state, [(r.time, r.action, r.holder, r.ttl)])
+                out.append((repo, *one[0]))
+            yield pd.DataFrame(out, columns=["repo", "time", "action", "holder", "granted"])
+
+    order = ["repo", "time", "action", "holder", "ttl"]
+    return requests.select(*order).repartition("repo").sortWithinPartitions(*order).mapInPandas(run, LEASE_OUT)
 
 
 def lease_stream(requests: DataFrame) -> DataFrame:

@@ -57,4 +57,31 @@ def test_prefilter_loses_no_match(pattern, text):
 
 def test_dialect():
     assert rl.to_java("a(?=b)") is None and rl.to_java(r"(a)\1") is None and rl.to_java("a(") is None
-    assert rl.to_java("ab$") == r"(?Udi)ab\z" and rl.to_java("[$]", False) == "(?Ud)[$]"
+    assert rl.to_java("ab$") == r"(?Udi)ab\z" and rl.to_java("[$]", False) == r"(?Ud)[\$]"
+
+
+NO_PATTERNS = ["a{,3}", "a(", "a)", "[a", "[z-a]", r"[a-\d]", r"\p{nope}", "a{2,1}", "{", "*a", "(?i", "(?<=a)b", "(?>a)", r"\1", r"\Qa\E", "(?P<a>x)(?P<a>y)", r"\x{110000}", "(?R)a", "[[:nope:]]", r"\q"]
+SAME_AS_PYTHON = ["abc", "a|b", "(?:ab)+c?", "[a-c]x", "[^a-c]x", r"\d+", r"\bfoo\b", "(?i)ABC", "a.c", "(?s)a.c", "(?m)^b$", "^ab", "b$", "a{2}b{1,}", "a+?b", r"\x61", r"\u00e9", "(?P<n>a)b", "[]a]x", r"[\]\-]", "x*", "(a|)b", r"\."]
+TEXTS = ["", "abc", "ab", "b", "a\nb\n", "a\nc", "foo", "xfoo", "aab", "dx", "ax", "]x", "-", "12", "ABC", "éa", "a.c", "abcab", "b\n"]
+
+
+def test_patterns_run_as_they_should(spark):
+    from pyspark.sql import functions as F
+
+    assert [p for p in NO_PATTERNS if rl.to_java(p) is not None] == []
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    rows = df.select("t", *[F.col("t").rlike(rl.to_java(p, False)).alias(str(i)) for i, p in enumerate(SAME_AS_PYTHON)]).collect()
+    for r in rows:
+        for i, p in enumerate(SAME_AS_PYTHON):
+            want = re.search(p.replace("b$", r"b\Z") if p == "b$" else p, r.t) is not None
+            assert r[str(i)] == want, (p, r.t)
+    own = {r"\p{Lu}": "É", r"\p{Greek}+": "λ", r"\pL": "ß", r"\PL": "1", "(?<n>a)": "a", "[[:alpha:]]": "q", "[[:^alpha:]]": "é", "[a-z&&[^aeiou]]": "b", r"[\w--a]": "b", "[a-c~~b-d]": "d", "a**": "", "(?x) a b # c": "ab", "(?U)a+": "a", r"\<foo\>": "a foo", r"\b{start}f": "f", r"\x{1F600}": "😀", "[^]]": "a", "(?-i:a)": "a", "\\p{sc=Han}": "漢", r"\p{Lowercase_Letter}": "a"}
+    none = {r"\p{Lu}": "é", "[[:alpha:]]": "é", "[a-z&&[^aeiou]]": "e", r"[\w--a]": "a", "[a-c~~b-d]": "b"}
+    got = spark.range(1).select(*[F.lit(t).rlike(rl.to_java(p, False)).alias(f"y{i}") for i, (p, t) in enumerate(own.items())], *[F.lit(t).rlike(rl.to_java(p, False)).alias(f"n{i}") for i, (p, t) in enumerate(none.items())]).first().asDict()
+    assert [k for k, v in got.items() if v != k.startswith("y")] == []
+
+
+def test_anchors_and_substrings():
+    assert rl.required_substrings("foo(bar|xbarx)+baz?") == ["foo", "ba"]
+    assert rl.required_substrings("(?i)foo") == [] and rl.required_substrings("a|b") == [] and rl.required_substrings("(") == []
+    assert rl.byte_anchors(r"foo\(a|b\(foo") == "(fo" and rl.byte_anchors("a?") == "" and rl.byte_anchors("(") == ""
