@@ -23,21 +23,23 @@ def brute_base(text):
 
 
 def brute_added(text):
-    """Every window anew, from scratch."""
+    """Every window anew, from scratch; none touches a placeholder."""
     out = []
     for order, (kind, (pattern, _, window, bits)) in enumerate(secrets.CLASSES.items(), 3):
         for m in re.finditer(pattern, text or ""):
             s = m[0]
             if re.search(secrets.ALLOW, s) or (kind == "entropy_base64" and re.fullmatch("[0-9A-Fa-f]+", s)):
                 continue
-            good = []
-            for i in range(len(s) - window + 1):
-                w = s[i : i + window]
-                h = -sum(w.count(c) / window * math.log2(w.count(c) / window) for c in set(w))
-                if h >= bits - 1e-9:
-                    good.append(i)
-            if good:
-                out.append((m.start() + good[0], order, kind, m.start() + good[-1] + window))
+            marks = [p.span() for p in re.finditer(secrets.PLACEHOLDER, s)]
+            for begin, end in zip([0, *(e for _, e in marks)], [*(b for b, _ in marks), len(s)]):
+                good = []
+                for i in range(begin, end - window + 1):
+                    w = s[i : i + window]
+                    h = -sum(w.count(c) / window * math.log2(w.count(c) / window) for c in set(w))
+                    if h >= bits - 1e-9:
+                        good.append(i)
+                if good:
+                    out.append((m.start() + good[0], order, kind, m.start() + good[-1] + window))
     return out
 
 
@@ -58,6 +60,9 @@ TEXTS = [
     "fooſecret=abcdefgh tokeN=abcdefgh",
     "key " + "aB3xY9kLm2Qp7Rt5Vw8Z" * 30 + " end",
     "token=abcdefgh1 " * 400,
+    "aB3xY9kLm2Qp7Rt5Vw8ZexampleQp7Rt5Vw8ZaB3xY9kLm2T 0000000aB3xY9kLm2Qp7Rt5Vw8Z1234567 xxxxaB3xY9kLm2Qp7R",
+    "Some_Plain-Words/And_More_Of_Them camelCaseIdentifierOfManyWords SCREAMING_CASE_IS_PLAIN_TOO Aa_bB_" + "x" * 30,
+    "ab_" * 9000,
 ]
 
 
@@ -80,3 +85,19 @@ def test_extra_columns_stay_and_empty_table(spark, make_docs):
     df = secrets.find_secrets(make_docs(["password=abcdefgh1"], extra=True))
     assert df.first()["key"] == "clash"
     assert secrets.op1(make_docs([])).count() == 0
+
+
+def test_long_candidates_and_many_hits(spark, make_docs):
+    import random
+    import time
+
+    rng = random.Random(2)
+    run = "".join(rng.choice(secrets.CLASSES["entropy_base64"][1]) for _ in range(1_000_000))
+    many = "token=abcdefgh1 " * 100_000
+    docs = make_docs([run, many, "word " + "aB3_" * 50_000]).repartition(3)
+    t = time.time()
+    got = {r.doc_id: r for r in secrets.op1(docs).collect()}
+    assert time.time() - t < 60
+    assert got[0].spans == f"entropy_base64:0:{len(run)}" or got[0].spans.startswith("entropy_base64:0:")
+    assert got[1].n_assign == 100_000 and got[1].base_sha256 == hashlib.sha256(digest(brute_base(many)).encode()).hexdigest()
+    assert got[2].n_added == 0
