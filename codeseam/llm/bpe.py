@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 4096, 128, 1 << 14
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 256, 128, 1 << 14
 SENT_CHARS = 1 << 20  # characters whose results a worker holds at most, but for one text's
 
 
@@ -46,7 +46,8 @@ class TreeCodec:
 
         self.base = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.find = regex.compile(pattern).findall
-        self.space = regex.compile(r"\s")
+        # a non-space before a space
+        self.begins, self.begin = regex.compile(r"\S(?=\s)").finditer, regex.compile(r"\S(?=\s)").search
         self.bytes = {i: b for b, i in ranks.items()}
         self.single = self.base._encode_single_piece
 
@@ -72,22 +73,30 @@ class TreeCodec:
     # whole texts
     def encode(self, text: str) -> list[int]:
         if len(text) <= LEAF_CHARS:
-            return self.leaf(text)
+            return self.base.encode_ordinary(text)
         mid = len(text) // 2
         return self.join(text, mid, self.encode(text[:mid]), self.encode(text[mid:]))
 
-    def leaf(self, text: str) -> list[int]:
-        return self.base.encode_ordinary(text)
-
     def join(self, text: str, seam: int, left: list[int], right: list[int]) -> list[int]:
+        """Tokens of the whole from those of the halves.  Both boundaries are token
+        boundaries of a half, so the bytes up to the seam tell which tokens go."""
         first, last = self.boundary_before(text, seam), self.boundary_after(text, seam)
-        keep = len(left) - len(self.window(text[first:seam]))
-        skip = len(self.window(text[seam:last]))
-        return left[:keep] + self.window(text[first:last]) + right[skip:]
+        size = self.bytes
+        keep, over = len(left), len(text[first:seam].encode())
+        while over:
+            keep -= 1
+            over -= len(size[left[keep]])
+        skip, over = 0, len(text[seam:last].encode())
+        while over:
+            over -= len(size[right[skip]])
+            skip += 1
+        left[keep:] = self.window(text[first:last])
+        left += right[skip:]
+        return left
 
     def window(self, text: str) -> list[int]:
         if len(text) <= LEAF_CHARS:
-            return self.leaf(text)
+            return self.base.encode_ordinary(text)
         return [i for p in self.find(text) for i in self.piece(p.encode())]
 
     def boundary_before(self, text: str, seam: int) -> int:
@@ -95,18 +104,16 @@ class TreeCodec:
         reach = 32
         while True:
             start = max(0, seam - reach)
-            for i in range(seam - 1, start, -1):
-                if self.space.match(text, i) and not self.space.match(text, i - 1):
-                    return i
+            found = [m.start() + 1 for m in self.begins(text, start, seam)]
+            if found:
+                return found[-1]
             if not start:
                 return 0
             reach *= 2
 
     def boundary_after(self, text: str, seam: int) -> int:
-        for i in range(seam + 1, len(text)):
-            if self.space.match(text, i) and not self.space.match(text, i - 1):
-                return i
-        return len(text)
+        found = self.begin(text, seam)
+        return found.start() + 1 if found else len(text)
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF_IDS:
@@ -173,8 +180,9 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    """The contract's digest columns, one row per document.  The digests are made
-    where the ids are, so neither ids nor bytes leave the worker."""
+    """The contract's digest columns, one row per document; null texts count as
+    empty (no ids, the digests of nothing), null ids stay null.  The digests are
+    made where the ids are, so neither ids nor bytes leave the worker."""
 
     def row(c: TreeCodec, x: str) -> tuple:
         ids = c.encode(x)
