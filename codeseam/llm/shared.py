@@ -34,6 +34,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
         raise RuntimeError(f"memory-mapped files need a mounted shared folder, not {uri}")
     path = os.path.join(uri.removeprefix("file://"), f"{name}-{uuid.uuid4().hex[:12]}")
     os.makedirs(path, exist_ok=True)
+    _on_exit(spark, f"file://{path}")
     return path
 
 
@@ -42,10 +43,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     files that outlive any executor."""
     spark = df.sparkSession
     path = f"{shared_uri(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _on_exit(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"__{n}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def _on_exit(spark: SparkSession, uri: str) -> None:
+    """Has the folder removed when the driver ends (an ended driver's results are
+    elsewhere; one that is killed leaves it behind)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def write_atomic(path: str, data) -> None:
     """Write bytes or an array so that a retried task leaves one whole file."""
     tmp = f"{path}.{uuid.uuid4().hex}"
@@ -64,9 +85,15 @@ def fold(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def shuffle_width(df: DataFrame, bytes_each: int = 32 << 20) -> int:
-    """Partitions for a shuffle of what ``df`` scans: as many as the session
-    asks for, more where the scanned files are large."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 1 << 16), 1)
+def input_bytes(df: DataFrame) -> int:
+    """What the optimiser takes ``df`` to read: for files their size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def shuffle_width(df: DataFrame, bytes_each: int = 8 << 20, most: int = 1 << 17) -> int:
+    """Partitions by the size of what ``df`` scans, at least one a core; as many as
+    the session asks for where the size isn't known (a table not read from files)."""
+    spark, size = df.sparkSession, input_bytes(df)
+    if size >= 1 << 60:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, min(size // bytes_each, most), 1)

@@ -8,11 +8,12 @@ parts of the word; so a tile pair whose ranges of counts lie further apart is
 skipped.  All others are compared exactly, word against word, by numpy
 exclusive-or and bit counts.
 
-Tiles lie in files in the shared folder, which workers map into memory: a task is
-a pair of files and reads 2 x 256 KB, so nothing is broadcast, joined or sent to
-the driver.  Links found in a pair of files are reduced to a spanning forest
-before they leave the task; a group of copies costs as many rows as it has
-members, never its pairs.  The work is quadratic in distinct fingerprints, less
+Tiles lie in files in the shared folder, which workers map into memory, with the
+ranges of their counts.  Tasks first compare ranges of files (15 pairs of numbers a
+file) and name the file pairs that may hold a link; only those become work, a
+task reading 2 x 256 KB: nothing is broadcast or sent to the driver.  Links found
+in a pair of files are reduced to a spanning forest before they leave the task; a
+group of copies costs as many rows as it has members, never its pairs.  The work is quadratic in distinct fingerprints, less
 what is skipped, as the method is.
 """
 
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeseam.llm.components import components, local_labels
-from codeseam.llm.shared import materialise, shared_path, write_atomic
+from codeseam.llm.shared import fresh_names, materialise, shared_path, write_atomic
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 TILE, FILE = 1024, 1 << 15
@@ -89,9 +90,15 @@ def part_counts(words: np.ndarray) -> np.ndarray:
 LEVELS = ((0, 1), (1, 3), (3, 7), (7, 15))
 
 
+def tile_ranges(words: np.ndarray, tile: int = TILE) -> np.ndarray:
+    """Least and largest part counts of each tile: tiles x 2 x 15."""
+    counts = [part_counts(words[i : i + tile]) for i in range(0, len(words), tile)]
+    return np.array([(c.min(axis=0), c.max(axis=0)) for c in counts], np.int16).reshape(-1, 2, 15)
+
+
 def write_files(fps: DataFrame, folder: str, per_file: int) -> int:
-    """Distinct fingerprints (fp), sorted by counts, in files of about
-    ``per_file``; returns the number of files."""
+    """Distinct fingerprints (fp), sorted by counts, in files of about ``per_file``,
+    with the ranges of their tiles; returns the number of files."""
     n = fps.count()
     files = max(1, -(-n // per_file))
     spread = fps.select("fp", _counts_key(F.col("fp")).alias("k")).repartitionByRange(files, "k", "fp").sortWithinPartitions("k", "fp")
@@ -101,8 +108,9 @@ def write_files(fps: DataFrame, folder: str, per_file: int) -> int:
 
         words = [p["fp"].to_numpy(np.int64) for p in parts]
         if words:
-            i = TaskContext.get().partitionId()
-            write_atomic(f"{folder}/{i}.u64", np.concatenate(words))
+            i, w = TaskContext.get().partitionId(), np.concatenate(words).view(np.uint64)
+            write_atomic(f"{folder}/{i}.u64", w)
+            write_atomic(f"{folder}/{i}.range", tile_ranges(w))
             yield pd.DataFrame({"file": [i]})
 
     written = spread.select("fp").mapInPandas(write, "file int")
@@ -116,21 +124,25 @@ def _mapped(folder: str, i: int) -> np.ndarray:
     return np.memmap(path, dtype=np.uint64, mode="r") if os.path.exists(path) else np.empty(0, np.uint64)
 
 
+def _ranges(folder: str, i: int) -> np.ndarray:
+    import os
+
+    path = f"{folder}/{i}.range"
+    return np.fromfile(path, np.int16).reshape(-1, 2, 15) if os.path.exists(path) else np.empty((0, 2, 15), np.int16)
+
+
 def _apart(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> np.ndarray:
     """Least distance the counts allow between tile a and each of tiles b."""
     gap = np.maximum(0, np.maximum(low_b - high_a, low_a - high_b))
     return np.max([gap[:, s:e].sum(axis=1) for s, e in LEVELS], axis=0)
 
 
-def compare_files(a: np.ndarray, b: np.ndarray, same: bool, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+def compare_files(a: np.ndarray, b: np.ndarray, same: bool, radius: int, tile: int = TILE, ranges: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of all links within and between a and b (within a, if
-    they are the same): index pairs, b's behind a's."""
+    they are the same): index pairs, b's behind a's.  ranges: their tiles' ones."""
     found_a, found_b = [], []
-    ranges = []
-    for w in (a, b):
-        counts = [part_counts(w[i : i + tile]) for i in range(0, len(w), tile)]
-        ranges.append((np.array([c.min(axis=0) for c in counts]), np.array([c.max(axis=0) for c in counts])))
-    (low_a, high_a), (low_b, high_b) = ranges
+    ra, rb = ranges or (tile_ranges(a, tile), tile_ranges(b, tile))
+    low_a, high_a, low_b, high_b = ra[:, 0], ra[:, 1], rb[:, 0], rb[:, 1]
     shift = 0 if same else len(a)
     for i in range(len(low_a)):
         near = np.flatnonzero(_apart(low_a[i], high_a[i], low_b, high_b) <= radius)
@@ -155,26 +167,60 @@ def compare_files(a: np.ndarray, b: np.ndarray, same: bool, radius: int, tile: i
     return nodes[moved], nodes[label[moved]]
 
 
+STRIP = 1024  # files whose ranges a row of the first step compares with one
+
+
+def near_files(spark: SparkSession, folder: str, files: int, radius: int) -> DataFrame:
+    """(i, j), i <= j: the file pairs that hold tiles within ``radius`` by their counts."""
+    strips = -(-files // STRIP)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple] = {}
+
+        def whole(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in held:
+                if len(held) >= 4 * STRIP:
+                    held.clear()
+                r = _ranges(folder, i)
+                held[i] = (r[:, 0].min(axis=0), r[:, 1].max(axis=0)) if len(r) else (np.full(15, 99, np.int16), np.full(15, -99, np.int16))
+            return held[i]
+
+        for p in parts:
+            for x in p["id"]:
+                i, s = int(x) // strips, int(x) % strips
+                js = np.arange(max(i, s * STRIP), min(files, (s + 1) * STRIP))
+                if not len(js) or not len(_ranges(folder, i)):
+                    continue
+                low, high = (np.array(v) for v in zip(*(whole(int(j)) for j in js)))
+                near = js[(low[:, 0] <= high[:, 0]) & (_apart(*whole(i), low, high) <= radius)]
+                r = _ranges(folder, i)
+                for j in near:
+                    o = _ranges(folder, int(j))
+                    if any((_apart(t[0], t[1], o[:, 0], o[:, 1]) <= radius).any() for t in r):
+                        yield pd.DataFrame({"i": [i], "j": [int(j)]})
+
+    return spark.range(0, files * strips, 1, max(1, min(files * strips, 2000))).mapInPandas(run, "i int, j int")
+
+
 def near_links(fps: DataFrame, radius: int = RADIUS, per_file: int = FILE) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) that connect exactly what pairs
     within ``radius`` bits connect."""
     spark = fps.sparkSession
     folder = shared_path(spark, "simhash")
     files = write_files(fps, folder, per_file)
+    pairs = materialise(near_files(spark, folder, files, radius), "near-files")
+    width = max(1, min(pairs.count(), 20000))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for i, j in zip(p["i"], p["j"]):
                 a, b = _mapped(folder, i), _mapped(folder, j)
-                if not len(a) or not len(b):
-                    continue
-                u, v = compare_files(a, b, i == j, radius)
+                u, v = compare_files(a, b, i == j, radius, ranges=(_ranges(folder, i), _ranges(folder, j)))
                 words = a if i == j else np.concatenate((a, b))
                 yield pd.DataFrame({"a": words[u].view(np.int64), "b": words[v].view(np.int64)})
 
-    pairs = spark.range(0, files * files, 1, max(1, min(files * files, 20000))).select((F.col("id") / files).cast("int").alias("i"), (F.col("id") % files).cast("int").alias("j"))
-    # the task of a pair is its row: shuffled, so that far pairs, which cost nothing, spread
-    return pairs.filter("i <= j").repartition(max(1, min(files * (files + 1) // 2, 20000)), F.xxhash64("i", "j")).mapInPandas(run, "a long, b long")
+    # a pair is a row, and a task by its hash: near pairs lie side by side otherwise
+    return pairs.repartition(width, F.xxhash64("i", "j")).mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id", per_file: int = FILE) -> DataFrame:
@@ -188,20 +234,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", d
     return labelled(docs, radius, text, doc_id, per_file).drop("__label")
 
 
-def labelled(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id", per_file: int = FILE) -> DataFrame:
-    """near_duplicates with __label, a fingerprint that names the component: ids
+def labelled(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id", per_file: int = FILE, label: str = "__label") -> DataFrame:
+    """near_duplicates with ``label``, a fingerprint that names the component: ids
     may be null or repeated, it tells components apart all the same."""
     rows = materialise(fingerprints(docs, text), "fingerprints")
     each = materialise(rows.groupBy("fp").agg(F.min(f"`{doc_id}`").alias("least")), "distinct-fingerprints")
     labels = materialise(components(materialise(near_links(each.select("fp"), radius, per_file), "near-links")), "labels")
     known = each.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = known.join(least, "label").select("fp", "component_id", F.col("label").alias("__label"))
-    return rows.join(by_fp, "fp").select(*[c for c in rows.columns if c != "component_id"], "component_id", "__label")
+    by_fp = known.join(least, "label").select("fp", "component_id", F.col("label").alias(label))
+    kept = [c for c in rows.columns if c not in ("component_id", label)]
+    return rows.select(*[F.col(f"`{c}`") for c in kept]).join(by_fp, "fp").select(*[F.col(f"`{c}`") for c in kept], "component_id", label)
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    """The contract's columns, one row per document."""
+    """The contract's columns, one row per document; null texts count as empty
+    (fingerprint 0), null ids only where a component has no other."""
     found = near_duplicates(docs.select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -209,9 +257,12 @@ def op4(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id, of
     those with that id (or, where all are null, with none) the one whose text has
-    the smallest hash; rows of the same id and text are copies and go, too."""
-    key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__h": F.xxhash64("text"), "__g": F.xxhash64(F.lit(1), "text")}
-    rows = labelled(docs.select("doc_id", "text", key["__h"].alias("__h"), key["__g"].alias("__g")), **options).filter("doc_id <=> component_id")
-    first = rows.groupBy("__label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), "__h", "__g")).alias("k"))
+    the smallest hash; rows of the same id and text are copies and go, too.  Null
+    and empty texts are one group; an empty table gives an empty one; columns of
+    any name stay as they are."""
+    none, key_id, h, g, label = fresh_names(docs, "none", "id", "h", "g", "label")
+    key = {none: F.col("doc_id").isNull(), key_id: F.coalesce("doc_id", F.lit(0)), h: F.xxhash64("text"), g: F.xxhash64(F.lit(1), "text")}
+    rows = labelled(docs.select("doc_id", "text", key[h].alias(h), key[g].alias(g)), label=label, **options).filter("doc_id <=> component_id")
+    first = rows.groupBy(label).agg(F.min(F.struct(F.col("doc_id").isNull().alias(none), F.coalesce("doc_id", F.lit(0)).alias(key_id), h, g)).alias("k"))
     # join and deduplication go by one key, so the texts are shuffled once
     return docs.withColumns(key).join(first.select("k.*"), list(key), "left_semi").dropDuplicates(list(key)).drop(*key)
