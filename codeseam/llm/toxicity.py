@@ -5,19 +5,23 @@ characters, whose log-odds between toxic and clean documents are high even one
 standard error below their estimate.  The words become a trie; the automaton of all
 words within a term's edit radius is run over trie nodes, states being sets of
 (node, edits), made deterministic lazily.  So a word costs a table look-up a
-character and most die after two or three.  Misspelled words that clean training
-rows use themselves are no hits.
+character and most die after two or three.  Word beginnings are terms of the same
+trie that accept where they end, without edits.  Misspelled words that clean
+training rows use themselves are no hits.  Terms of less than five letters are
+found only as they are: an edit turns too many of them into other words.
 
 A hit's weight depends on its context window: within quotation marks it counts
 little, among other hits more.  The score is the logistic of the prior and the
 best weight of each term that occurs.
 
-Scoring is row local: the lexicon (at most ``max_terms`` terms and
-``max_allowed`` exceptions) travels with the task, caches are bounded.
+Scoring is row local: the lexicon, learnt from at most about ``fit_rows`` labelled
+documents and so bounded by them, travels with the task; caches are bounded.
+Words of ``LONG`` characters or more count by their digest: exactly, not misspelled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeseam.llm.shared import fold, materialise
+from codeseam.llm.shared import fold, fresh_names, materialise
 from codeseam.llm.simhash import labelled
 
 TOKEN = re.compile(r"\w+")
@@ -48,38 +52,51 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+LONG = 64
+
+
+def name(word: str) -> str:
+    """A word, or what a very long one is told by (no word begins with NUL)."""
+    return word if len(word) < LONG else "\0" + hashlib.sha256(word.encode()).hexdigest()[:32]
+
+
 def features(words: set[str]) -> set[str]:
-    """The words (below 64 characters), and their beginnings, marked by a star."""
-    words = {w for w in words if len(w) < 64}
-    return words | {w[:n] + "*" for n in BEGIN for w in words if len(w) > n + 1}
+    """The words, and their beginnings, marked by a star."""
+    return {name(w) for w in words} | {w[:n] + "*" for n in BEGIN for w in words if len(w) > n + 1}
 
 
 class Automaton:
-    """Finds the nearest term of a lexicon within its radius of a word."""
+    """Finds the nearest term of a lexicon within its radius of a word, and the
+    starred beginnings it has.  ``edits``: whether misspelled words are found."""
 
-    def __init__(self, weights: dict[str, float]) -> None:
-        self.weights = weights
+    def __init__(self, weights: dict[str, float], edits: bool = True) -> None:
+        self.weights = {t: w for t, w in weights.items() if t[0] != "\0"}
+        self.radius = radius if edits else lambda t: 0
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
+        self.begin: list[str | None] = [None]
         self.reach = [0]  # the largest radius below a node
-        for t in weights:
-            at = 0
-            self.reach[0] = max(self.reach[0], radius(t))
-            for c in t:
+        for t in self.weights:
+            starred, at = t[-1] == "*", 0
+            r = 0 if starred else self.radius(t)
+            self.reach[0] = max(self.reach[0], r)
+            for c in t[:-1] if starred else t:
                 if c not in self.children[at]:
                     self.children[at][c] = len(self.children)
                     self.children.append({})
                     self.term.append(None)
+                    self.begin.append(None)
                     self.reach.append(0)
                 at = self.children[at][c]
-                self.reach[at] = max(self.reach[at], radius(t))
-            self.term[at] = t
+                self.reach[at] = max(self.reach[at], r)
+            (self.begin if starred else self.term)[at] = t
         self.reset()
 
     def reset(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
+        self.begins: list[str | None] = []  # the beginning that a state has just read
         self.start = self.state(self.closed({0: 0}) if self.weights else {})
 
     def closed(self, nodes: dict[int, int]) -> dict[int, int]:
@@ -101,6 +118,7 @@ class Automaton:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.next.append({})
+            self.begins.append(next((self.begin[n] for n, e in key if not e and self.begin[n] is not None), None))
         return self.ids[key]
 
     def step(self, state: int, c: str) -> int:
@@ -117,19 +135,25 @@ class Automaton:
         found = self.next[state][c] = self.state(self.closed(out))
         return found
 
-    def match(self, word: str) -> tuple[str, int] | None:
-        """(term, edits) of the nearest term, the heavier at a tie."""
+    def read(self, word: str) -> tuple[tuple[str, int] | None, list[str]]:
+        """((term, edits) of the nearest term, the heavier at a tie, or None; the
+        starred beginnings)."""
         if len(self.sets) > STATES:
             self.reset()
-        at, tables = self.start, self.next
+        at, tables, begins, found = self.start, self.next, self.begins, []
         dead = self.ids.get(frozenset(), -1)
-        for c in word:
+        for i, c in enumerate(word):
             n = tables[at].get(c)
             at = self.step(at, c) if n is None else n
             if at == dead or not self.sets[at]:
-                return None
-        best = [(e, -self.weights[self.term[n]], self.term[n]) for n, e in self.sets[at] if self.term[n] is not None and e <= radius(self.term[n])]
-        return (min(best)[2], min(best)[0]) if best else None
+                return None, found
+            if begins[at] is not None and i + 2 < len(word):
+                found.append(begins[at])
+        best = [(e, -self.weights[self.term[n]], self.term[n]) for n, e in self.sets[at] if self.term[n] is not None and e <= self.radius(self.term[n])]
+        return (min(best)[2], min(best)[0]) if best else None, found
+
+    def match(self, word: str) -> tuple[str, int] | None:
+        return self.read(word)[0]
 
 
 @dataclass
@@ -140,6 +164,7 @@ class Model:
     allowed: set[str]
     prior: float
     discount: tuple[float, ...] = (1.0, 0.5, 0.4)
+    edits: bool = True  # whether misspelled words are found
     _automaton: Automaton | None = field(default=None, repr=False)
     _hit: dict[str, tuple[str, float]] = field(default_factory=dict, repr=False)
     _seen: set[str] = field(default_factory=set, repr=False)
@@ -147,25 +172,38 @@ class Model:
     def learn(self, words: set[str]) -> None:
         """Looks up words not seen yet."""
         if self._automaton is None:
-            self._automaton = Automaton({t: w for t, w in self.weights.items() if t[-1] != "*"})
+            self._automaton = Automaton(self.weights, self.edits)
         if len(self._seen) > SEEN:
             self._seen.clear()
             self._hit.clear()
         for w in words - self._seen:
-            if len(w) >= 64:
+            if len(w) >= LONG:
                 continue
-            found = [(self.weights[b], b) for n in BEGIN if len(w) > n + 1 and (b := w[:n] + "*") in self.weights]
-            if (m := self._automaton.match(w)) and (m[1] == 0 or w not in self.allowed):
-                found.append((self.weights[m[0]] * self.discount[m[1]], m[0]))
+            term, begins = self._automaton.read(w)
+            found = [(self.weights[b], b) for b in begins]
+            if term and (term[1] == 0 or w not in self.allowed):
+                found.append((self.weights[term[0]] * self.discount[term[1]], term[0]))
             if found:
                 self._hit[w] = max(found)[1], max(found)[0]
-        self._seen |= words
+        self._seen |= {w for w in words if len(w) < LONG}
+
+    def found(self, word: str) -> tuple[str, float] | None:
+        """(term, weight) of a word looked up before."""
+        if len(word) < LONG:
+            return self._hit.get(word)
+        if (t := name(word)) in self.weights:
+            return t, self.weights[t]
+        term, begins = self._automaton.read(word)
+        best = [(self.weights[b], b) for b in begins]
+        if term:
+            best.append((self.weights[term[0]] * self.discount[term[1]], term[0]))
+        return (max(best)[1], max(best)[0]) if best else None
 
     def score(self, text: str) -> float:
         words = set(tokens(text))
         self.learn(words)
         total = self.prior
-        if not self._hit.keys().isdisjoint(words):
+        if not self._hit.keys().isdisjoint(words) or any(len(w) >= LONG for w in words):
             total += sum(self.hits(text).values())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
@@ -173,7 +211,7 @@ class Model:
         """The best weight of each term that occurs, by its context windows."""
         low = text.lower()
         spans = [m.span() for m in TOKEN.finditer(low)]
-        places = [(i, *self._hit[low[s:e]]) for i, (s, e) in enumerate(spans) if low[s:e] in self._hit]
+        places = [(i, *hit) for i, (s, e) in enumerate(spans) if (hit := self.found(low[s:e]))]
         at = [i for i, _, _ in places]
         best: dict[str, float] = {}
         for k, (i, term, weight) in enumerate(places):
@@ -229,8 +267,8 @@ def count_contexts(texts: DataFrame, candidates: set[str]) -> DataFrame:
             for x in batch.column("text"):
                 before = ""
                 for w in tokens(x.as_py() or ""):
-                    found.update((f, before[:64]) for f in features({w}) if f in candidates)
-                    before = w
+                    found.update((f, before) for f in features({w}) if f in candidates)
+                    before = name(w)
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([b for _, b in found], pa.string())], ["token", "before"])
 
     return texts.mapInArrow(run, "token string, before string").distinct().groupBy("token").agg(F.count("*").alias("contexts"))
@@ -259,16 +297,18 @@ def _weight(pos: Column, neg: Column, toxic: Column | int, clean: int) -> Column
     return odds - F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, max_terms: int = 4000, max_allowed: int = 20_000, min_docs: int = 3, sure: int = 10, share: float = 0.05, least: float = 2.5, precision: float = 0.9) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, min_docs: int = 3, sure: int = 10, share: float = 0.05, least: float = 2.5, precision: float = 0.9) -> Model:
     """A model from the labelled rows that are not held out.
 
     At most about ``fit_rows`` of them, by a hash of their ids.  A term needs
     ``min_docs`` toxic documents, ``precision`` of its documents toxic and a
     weight (log-odds less their standard error) of ``least``, toxic documents counting by
     near-duplicate groups where these are ``share`` of all and at least ``sure``, else
-    no more than the term has contexts.  Rows with null ids, texts or labels teach nothing.
+    no more than the term has contexts.  Rows with null ids, texts or labels teach nothing;
+    of different labels of one id the toxic one counts.  Terms and exceptions are
+    those of the sample, all of them; a document's text counts once a row.
     """
-    y = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    y = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     y = y.filter(fold("doc_id", 3) != 1)
     n = y.count()
     part = min(1.0, fit_rows / max(1, n))
@@ -279,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, max_terms: i
     pos, neg = (y.filter(f"toxic = {k}").count() for k in (1, 0))
     good = terms.filter((F.col("pos") >= min_docs) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg"))))
     good = good.withColumn("w", _weight(F.col("pos"), F.col("neg"), pos, neg)).filter(F.col("w") >= least)
-    candidates = {r.token for r in good.orderBy(F.desc("w"), "token").limit(4 * max_terms).select("token").collect()}
+    candidates = {r.token for r in good.select("token").collect()}
     contexts = count_contexts(rows.filter("toxic = 1").select("text"), candidates)
     seen, groups = count_groups(rows.filter("toxic = 1"), candidates)
     # passages copied into other documents make no near-duplicates: rarer terms need contexts
@@ -287,39 +327,58 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, max_terms: i
     good = good.join(seen, "token").join(contexts, "token")
     good = good.withColumn("pos", F.when(common, F.col("groups")).otherwise(F.least("pos", "contexts"))).filter(F.col("pos") >= min_docs)
     good = good.withColumn("w", _weight(F.col("pos"), F.col("neg"), F.when(common, groups).otherwise(pos), neg))
-    found = good.filter(F.col("w") >= least).orderBy(F.desc("w"), "token").limit(max_terms).collect()
+    found = good.filter(F.col("w") >= least).select("token", "w").collect()
     weights = {r.token: float(r.w) for r in found}
 
     def near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = Automaton({t: w for t, w in weights.items() if t[-1] != "*"})
+        a = Automaton(weights)
         for p in parts:
             yield p[[w[-1] != "*" and w not in weights and a.match(w) is not None for w in p["token"]]]
 
-    common = terms.filter("neg > 0").select("token", "neg").mapInPandas(near, "token string, neg long")
-    allowed = {r.token for r in common.orderBy(F.desc("neg"), "token").limit(max_allowed).collect()}
+    allowed = {r.token for r in terms.filter("neg > 0").select("token").mapInPandas(near, "token string").collect()}
     return Model(weights, allowed, math.log((pos + 0.5) / (neg + 0.5)))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """The columns of ``docs``, without the text unless kept, with score double.
-    Null texts score as empty ones, by the prior; repeated rows repeat; a column
-    named score is replaced."""
-    names = [c for c in docs.columns if (c != text or keep_text) and c != "score"]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + ["score double"])
+SENT = 4 << 20  # characters of text that leave a worker at once
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False, name: str = "score") -> DataFrame:
+    """The columns of ``docs``, without the text unless kept, with ``name`` double.
+    Null texts score as empty ones, by the prior; repeated rows repeat; an empty
+    table gives an empty one; a column of that name is replaced."""
+    names = [c for c in docs.columns if (c != text or keep_text) and c != name]
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + [f"`{name}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = pa.array([model.score(x.as_py() or "") for x in batch.column(text)], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [s], [*names, "score"])
+            first, made, chars = 0, [], 0
+
+            def packed(rows: pa.RecordBatch) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([rows.column(n) for n in names] + [pa.array(made, pa.float64())], [*names, name])
+
+            for i, x in enumerate(batch.column(text)):
+                t = x.as_py() or ""
+                made.append(model.score(t))
+                chars += len(t)
+                if chars >= SENT:
+                    yield packed(batch.slice(first, i + 1 - first))
+                    first, made, chars = i + 1, [], 0
+            if made:
+                yield packed(batch.slice(first))
 
     return docs.mapInArrow(run, schema)
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The contract's columns, one row per document.  Null texts score as empty
+    ones, null ids are of the fold of the empty text; repeated rows repeat; other
+    columns are ignored."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that score 0.7 or more."""
-    return score(docs, fit(docs, labels), keep_text=True).filter("score < 0.7").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without those that score 0.7 or more; columns of any name stay as
+    they are, null and empty texts stay, an empty table gives an empty one."""
+    own = fresh_names(docs, "toxicity")[0]
+    return score(docs, fit(docs, labels), keep_text=True, name=own).filter(F.col(own) < 0.7).select(*[F.col(f"`{c}`") for c in docs.columns])

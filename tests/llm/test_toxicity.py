@@ -89,3 +89,43 @@ def test_copies_teach_no_terms(spark, make_docs):
     labels = spark.createDataFrame([(i, None, 1 - i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
     weights = tox.fit(make_docs(rows), labels).weights
     assert "scumbag" in weights and "harmless" not in weights
+
+
+def test_the_automaton_adds_to_beginnings(spark, sf):
+    """Toxic held-out documents whose learnt words are misspelled by one letter."""
+    docs, labels = sf
+    model = tox.fit(docs, labels)
+    held = docs.join(labels.filter("toxic = 1"), "doc_id").filter(tox.fold("doc_id", 3) == 1).select("text").collect()
+    rng = random.Random(3)
+
+    def misspelled(word):
+        low = word.lower()
+        if low not in model.weights or len(low) < 5:
+            return word
+        at = rng.randrange(1, 4)
+        return word[:at] + "z" + word[at + 1 :]
+
+    texts = [tox.TOKEN.sub(lambda m: misspelled(m[0]), r.text) for r in held]
+    plain = tox.Model(model.weights, model.allowed, model.prior, edits=False)
+    recall = lambda m: sum(m.score(t) >= 0.7 for t in texts) / len(texts)
+    with_edits, without = recall(model), recall(plain)
+    assert with_edits >= 0.8 and with_edits > without + 0.1, (with_edits, without)
+
+
+def test_values_stay_and_ties_are_decided(spark, make_docs):
+    rng = random.Random(4)
+    long = "q" * 5000
+    rows = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(9)) + (f" {long} scumbag" if i % 2 else ""), "s") for i in range(90)]
+    docs = make_docs(rows, extra=True)
+    labels = spark.createDataFrame([(i, None, i % 2) for i in range(90)] + [(i, None, 0) for i in range(1, 90, 4)], "doc_id long, quality int, toxic int")
+    model = tox.fit(docs, labels)
+    assert tox.name(long) in model.weights and model.prior == pytest.approx(tox.fit(docs, labels.orderBy(F.desc("toxic"))).prior)
+    assert model.score(f"only {long}") > 0.7 > model.score("only " + "r" * 5000)
+    kept = tox.drop_toxic(docs, labels)
+    assert kept.dtypes == docs.dtypes and {(r.score, r.key) for r in kept.collect()} == {("clash", "clash")} and kept.count() == 45
+    assert tox.drop_toxic(make_docs([]), labels).count() == 0
+
+
+def test_beginnings_are_read_by_the_automaton():
+    a = tox.Automaton({"idio*": 4.0, "moron": 5.0, "\0abc": 3.0})
+    assert a.read("idiotic") == (None, ["idio*"]) and a.read("idiot") == (None, []) and a.read("morons") == (("moron", 1), [])
