@@ -6,17 +6,28 @@ within its format.  The permutation is a Feistel network on two halves (L, R) of
 the value: L += F(R), R += F(L), modulo the halves' sizes, F a keyed SHA-256; so
 it is a bijection on the format, and equal values get equal pseudonyms in every
 document, whatever their separators.  Check digits are made anew.  Numbers of the
-form +1 whose area or office is below 200 are permuted among themselves.
+form +1 whose area or office is below 200 are permuted among themselves, and so
+are dates before 1900 and from 2100 on.
+
+The permutation's key is the caller's, or the setting ``spark.codeseam.pii.key``;
+where neither is given a random one is drawn for the session, so pseudonyms link
+documents of one session and nobody can invert them later.  The key is a literal
+of the plan: where plans are logged, have ``spark.sql.redaction.string.regex`` hide it.
 
 Row local: one scan, no shuffle, no Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeseam.llm.shared import fresh_names
+
 ROUNDS = 8
+SETTING = "spark.codeseam.pii.key"
 
 #: characters of an IBAN by country
 IBAN_LENGTHS = {
@@ -192,6 +203,10 @@ def _iban(s: Column, key: Column) -> Column:
     return _let(F.get(starts, F.lit(0)), go)
 
 
+#: first day and the two factors of the number of days of each range of dates
+DATES = (("0001-01-01", 931, 745), ("1900-01-01", 17, 4297), ("2100-01-01", 195, 14797))
+
+
 def _date(s: Column, key: Column) -> Column:
     iso = F.substring(s, 5, 1) == "-"
     said = F.when(iso, s).otherwise(F.concat(F.substring(s, 7, 4), F.lit("-"), F.substring(s, 4, 2), F.lit("-"), F.substring(s, 1, 2)))
@@ -200,17 +215,22 @@ def _date(s: Column, key: Column) -> Column:
     day = lambda x: F.try_to_timestamp(x, F.lit("yyyy-MM-dd")).cast("date")
     us = ~iso & day(said).isNull()
     d = F.coalesce(day(said), F.when(~iso, day(swapped)))
-    # 1900-01-01 .. 2099-12-30 are 73048 = 184 * 397 days
-    n = F.datediff(d, F.lit("1900-01-01").cast("date"))
-    two = feistel(F.floor(n / 397), n % 397, F.lit(184), F.lit(397), key, "date")
     sep = F.substring(s, 3, 1)
 
-    def said_anew(t: Column) -> Column:
-        new = F.date_add(F.lit("1900-01-01").cast("date"), (t["l"] * 397 + t["r"]).cast("int"))
+    def said_anew(new: Column) -> Column:
         y, m, dd = (F.date_format(new, f) for f in ("yyyy", "MM", "dd"))
         return F.when(iso, F.concat_ws("-", y, m, dd)).when(us, F.concat(m, sep, dd, sep, y)).otherwise(F.concat(dd, sep, m, sep, y))
 
-    return F.when((n >= 0) & (n < 73048), _let(two, said_anew))
+    def moved(d: Column) -> Column:
+        out = F.lit(None).cast("date")
+        for first, a, b in DATES:
+            start = F.lit(first).cast("date")
+            n = F.datediff(d, start)
+            two = feistel(F.floor(n / b), n % b, F.lit(a), F.lit(b), key, "date" if first[0] == "1" else f"date{first[:4]}")
+            out = F.when((n >= 0) & (n < a * b), _let(two, lambda t: F.date_add(start, (t["l"] * b + t["r"]).cast("int")))).otherwise(out)
+        return out
+
+    return _let(d, lambda d: F.when(d.isNotNull(), _let(moved(d), said_anew)))
 
 
 def _ip(s: Column, key: Column) -> Column:
@@ -300,29 +320,42 @@ def pseudonym(s: Column, key: Column) -> Column:
     return _let(kind, made)
 
 
-def pseudonymise(docs: DataFrame, key: str = "codeseam", text: str = "text", counts: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key as configured, else one drawn for this session."""
+    key = spark.conf.get(SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(SETTING, key)
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with the text's personal data replaced; all other columns stay,
     but n_chars, where there is one, follows the text.  counts: adds pii_<kind>,
     replaced values by kind (a column of that name is replaced).
 
-    Null texts stay null, empty ones empty; repeated rows get equal texts.
+    Null texts stay null, empty ones empty; repeated rows get equal texts; an empty
+    table gives an empty one.  ``key``: see above.
     """
     t = F.col(f"`{text}`")
     hits, gaps = F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), F.split(t, ANY, -1)
-    secret = F.lit(key)
-    found = F.when(F.size(hits) > 0, F.transform(hits, lambda s: F.struct(s.alias("old"), pseudonym(s, secret).alias("p"))))
-    df = docs.withColumn("__pii", found)
-    parts = F.zip_with(gaps, F.col("__pii"), lambda g, h: F.concat(g, F.coalesce(h["p"]["new"], h["old"], F.lit(""))))
-    out = {text: F.when(F.col("__pii").isNotNull(), F.array_join(parts, "")).otherwise(t)}
+    secret = F.lit(key or session_key(docs.sparkSession))
+    own = fresh_names(docs, "pii")[0]
+    hit = F.col(own)
+    found = _let(hits, lambda hs: F.when(F.size(hs) > 0, F.transform(hs, lambda s: F.struct(s.alias("old"), pseudonym(s, secret).alias("p")))))
+    df = docs.withColumn(own, found)
+    parts = F.zip_with(gaps, hit, lambda g, h: F.concat(g, F.coalesce(h["p"]["new"], h["old"], F.lit(""))))
+    out = {text: F.when(hit.isNotNull(), F.array_join(parts, "")).otherwise(t)}
     if counts:
-        n = lambda k: F.size(F.filter("__pii", lambda h: (h["p"]["kind"] == k) & h["p"]["new"].isNotNull()))
-        out |= {f"pii_{k}": F.coalesce(F.when(F.col("__pii").isNotNull(), n(k)), F.lit(0)).cast("long") for k in PATTERNS}
-    df = df.withColumns(out).drop("__pii")
+        n = lambda k: F.size(F.filter(hit, lambda h: (h["p"]["kind"] == k) & h["p"]["new"].isNotNull()))
+        out |= {f"pii_{k}": F.coalesce(F.when(hit.isNotNull(), n(k)), F.lit(0)).cast("long") for k in PATTERNS}
+    df = df.withColumns(out).drop(own)
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast(docs.schema["n_chars"].dataType))
+        df = df.withColumn("n_chars", F.length(t).cast(docs.schema["n_chars"].dataType))
     return df
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    """doc_id, the pseudonymised text and the replaced values by kind."""
+    """doc_id, the pseudonymised text and the replaced values by kind, a row a
+    document: null texts stay null, null ids stay null, other columns are ignored."""
     return pseudonymise(docs.select("doc_id", "text"), counts=True)
