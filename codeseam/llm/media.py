@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeseam.llm.shared import materialise, shared_path, write_atomic
+from codeseam.llm.shared import materialise, shared_path, shuffle_width, write_atomic
 
 UNIT = 64
 LEAST, MEAN_BITS, MOST = 512, 12, 32 << 10
@@ -100,17 +100,17 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-KEY = ["id", "h"]
+KEY = ["none", "id", "h"]
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """id and h (of the text) tell rows apart; null ids are the least long."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(t).alias("h"), t.alias("t"))
+    """none (no id), id and h (of the text) tell rows apart."""
+    t, i = F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{doc_id}`").cast("long")
+    return docs.select(i.isNull().alias("none"), F.coalesce(i, F.lit(0)).alias("id"), F.xxhash64(t).alias("h"), t.alias("t"))
 
 
 def chunk_lists(rows: DataFrame) -> DataFrame:
-    """(id, h, t) -> id, h, seq, digest, length and n_bytes of the text: a row a chunk."""
+    """(none, id, h, t) -> none, id, h, seq, digest, length and n_bytes of the text: a row a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,12 +128,12 @@ def chunk_lists(rows: DataFrame) -> DataFrame:
             made = [pa.array(seqs, pa.int32()), pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(keys + made, [*KEY, "seq", "digest", "length", "n_bytes"])
 
-    return rows.mapInArrow(run, "id long, h long, seq int, digest binary, length int, n_bytes long")
+    return rows.mapInArrow(run, "none boolean, id long, h long, seq int, digest binary, length int, n_bytes long")
 
 
-def _places(key: np.ndarray, h: np.ndarray, seq: np.ndarray) -> np.ndarray:
+def _places(none: np.ndarray, key: np.ndarray, h: np.ndarray, seq: np.ndarray) -> np.ndarray:
     """A 64-bit hash of a chunk's place."""
-    x = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ h.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    x = (key.astype(np.uint64) + none.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) * np.uint64(0x9E3779B97F4A7C15) ^ h.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     x += seq.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -141,11 +141,11 @@ def _places(key: np.ndarray, h: np.ndarray, seq: np.ndarray) -> np.ndarray:
 
 
 def write_others(repeats: DataFrame, folder: str, parts: int) -> None:
-    """The places (id, h, seq) of chunks that are stored elsewhere, as sorted arrays."""
+    """The places (none, id, h, seq) of chunks that are stored elsewhere, as sorted arrays."""
 
     def write(p: pd.DataFrame) -> pd.DataFrame:
         part = int(p["h"].iloc[0] % parts)
-        write_atomic(f"{folder}/{part}.u64", np.sort(_places(*(p[c].to_numpy(np.int64) for c in (*KEY, "seq")))))
+        write_atomic(f"{folder}/{part}.u64", np.sort(_places(*(p[c].to_numpy().astype(np.int64) for c in (*KEY, "seq")))))
         return pd.DataFrame({"part": [part]})
 
     repeats.groupBy(F.pmod("h", F.lit(parts))).applyInPandas(write, "part long").write.format("noop").mode("overwrite").save()
@@ -183,7 +183,7 @@ def store(rows: DataFrame, folder: str, others: str, parts: int) -> DataFrame:
         name = f"{uuid.uuid4().hex}.pack"
         known: dict[int, np.ndarray] = {}
 
-        def stored_elsewhere(key: int, h: int, n: int) -> np.ndarray:
+        def stored_elsewhere(none: bool, key: int, h: int, n: int) -> np.ndarray:
             part = h % parts
             if part not in known:
                 path = f"{others}/{part}.u64"
@@ -191,7 +191,7 @@ def store(rows: DataFrame, folder: str, others: str, parts: int) -> DataFrame:
             a = known[part]
             if not len(a):
                 return np.zeros(n, bool)
-            places = _places(np.full(n, key, np.int64), np.full(n, h, np.int64), np.arange(n))
+            places = _places(np.full(n, none), np.full(n, key, np.int64), np.full(n, h, np.int64), np.arange(n))
             return a[np.minimum(np.searchsorted(a, places), len(a) - 1)] == places
 
         with open(f"{folder}/{name}", "wb") as pack:
@@ -211,9 +211,9 @@ def store(rows: DataFrame, folder: str, others: str, parts: int) -> DataFrame:
                 return out
 
             for batch in batches:
-                for key, h, t in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(), batch.column("t")):
+                for none, key, h, t in zip(*(batch.column(c).to_pylist() for c in KEY), batch.column("t")):
                     made = chunks(wav(payload_of(t.as_py())))
-                    for c, other in zip(made, stored_elsewhere(key, h, len(made))):
+                    for c, other in zip(made, stored_elsewhere(none, key, h, len(made))):
                         if not other:
                             rows_held.append((digest(c), fill))
                             held.append(c)
@@ -229,12 +229,13 @@ def store(rows: DataFrame, folder: str, others: str, parts: int) -> DataFrame:
 
 
 def write_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, str]:
-    """Stores every row's media.  Returns the table of payloads (id, h, n_bytes,
-    n), the table of their chunks (id, h, seq, digest, length, pack, block, size,
-    at), and the folder of the packs.
+    """Stores every row's media.  Returns the table of payloads (none, id, h, n_bytes,
+    n), the table of their chunks (none, id, h, seq, digest, length, pack, block,
+    size, at), and the folder of the packs.
 
     Rows equal in id and text are one stored media, counted n.  Null and empty
-    texts are the same payload, 64 zero bytes; other columns are ignored.
+    texts are the same payload, 64 zero bytes; other columns are ignored; an
+    empty table stores nothing.
     """
     spark = docs.sparkSession
     rows = _keyed(docs, text, doc_id)
@@ -244,7 +245,7 @@ def write_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     # the owner of a digest stores it; partial aggregation keeps hot chunks small
     owners = listed.groupBy("digest").agg(F.min(F.struct(*KEY, "seq")).alias("own"))
     repeats = listed.join(owners, "digest").filter(F.struct(*KEY, "seq") != F.col("own")).select(*KEY, "seq")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = shuffle_width(docs)
     others, folder = shared_path(spark, "media-others"), shared_path(spark, "media-packs")
     write_others(repeats, others, parts)
     placed = materialise(store(rows, folder, others, parts).dropDuplicates(["digest"]), "media-places")
@@ -254,15 +255,17 @@ def write_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return keys, listed.join(placed, "digest"), folder
 
 
-def read_media(keys: DataFrame, listed: DataFrame, folder: str, row, schema: str) -> DataFrame:
+def read_media(keys: DataFrame, listed: DataFrame, folder: str, row, schema: str, width: int | None = None) -> DataFrame:
     """doc_id, n_bytes (of the text) and what row(media bytes) gives, one row for every row stored; each
-    media is put together from its chunks, whose digests are verified."""
+    media is put together from its chunks, whose digests are verified.  width: tasks
+    that read, by the size of what they read, not of the lists that tell of it."""
     ordered = listed.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "length", "pack", "block", "size", "at"))).alias("list"))
     ordered = ordered.withColumn("first", F.struct(F.col("list")[0]["pack"].alias("pack"), F.col("list")[0]["block"].alias("block")))
     # near places are read together, so that a block is decompressed about once
-    place = F.xxhash64("first.pack", F.floor(F.col("first.block") / (8 << 20)))
-    doc_id = F.nullif("id", F.lit(-(1 << 63))).alias("doc_id")
-    ordered = ordered.join(keys, KEY).repartition(place).sortWithinPartitions("first").select(doc_id, "n_bytes", "n", "list")
+    place = F.xxhash64("first.pack", F.floor(F.col("first.block") / (2 << 20)))
+    doc_id = F.when(~F.col("none"), F.col("id")).alias("doc_id")
+    ordered = ordered.join(keys, KEY)
+    ordered = (ordered.repartition(width, place) if width else ordered.repartition(place)).sortWithinPartitions("first").select(doc_id, "n_bytes", "n", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs = Packs(folder)
@@ -287,12 +290,14 @@ def read_media(keys: DataFrame, listed: DataFrame, folder: str, row, schema: str
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    """The contract's columns, from the media as read back."""
+    """The contract's columns, from the media as read back, one row per document;
+    null ids stay null, null texts count as empty, repeated rows repeat."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def row(media: bytes) -> tuple:
         p = samples(media)
         return len(p), sha(p), zlib.crc32(p[-UNIT:]), len(media), sha(media), feature_of(p)
 
-    keys, listed, folder = write_media(docs.select("doc_id", "text"))
-    return read_media(keys, listed, folder, row, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    docs = docs.select("doc_id", "text")
+    keys, listed, folder = write_media(docs)
+    return read_media(keys, listed, folder, row, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", shuffle_width(docs))

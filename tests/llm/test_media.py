@@ -53,7 +53,7 @@ def test_container(payload):
 def test_query_is_a_round_trip(spark, make_docs, sample):
     long = " ".join(str(i * i) for i in range(30_000))
     texts = [None, "", "x", "x", "tail\0\0", "é" * 100, "a" * 64, long, long[:90_000] + "!" + long[90_000:]]
-    docs = make_docs([*texts, (3, "x", "again"), (None, long, None), (None, None, None)], extra=True).unionByName(sample, allowMissingColumns=True)
+    docs = make_docs([*texts, (3, "x", "again"), (None, long, None), (None, None, None), (-(1 << 63), "least", "s"), (0, long, None)], extra=True).unionByName(sample, allowMissingColumns=True)
     want = []
     for r in docs.collect():
         b = (r.text or "").encode()
