@@ -4,17 +4,21 @@ Every source gets a target in words (weights, capped at a multiple of what the
 source holds, the excess reshared).  Its documents stand in a keyed random
 order; the mix takes exactly the first ``target`` words of that order, starting
 over once where the target exceeds the source.  So only the document at the
-border is cut.  What is taken falls into blocks of ``block`` words, by where a
-document starts.  The exact numbers of blocks of all sources are split among the
-output shards by a tree of multivariate hypergeometric draws (each node halves
-its shards and draws how many blocks of each source go left), and each shard
-draws its blocks, disjointly, from a keyed permutation of the source's blocks.
-Within a shard, documents are ordered by a keyed hash.
+border is cut, and the order alone decides what is taken.  The tree decides where
+it goes: what is taken falls into blocks of ``block`` words, by where a document
+starts.  The exact numbers of blocks of all sources are split among the output
+shards by a tree of multivariate hypergeometric draws (each node halves its
+shards and draws how many blocks of each source go left), and each shard draws
+its blocks, disjointly, from a keyed permutation of the source's blocks.  Within a
+shard, documents are ordered by a keyed hash.
 
 Scale: what is grouped is one (source, bucket) of about ``bucket_rows`` rows, so
-a hot source is many groups; word positions come from sums in two levels.  The
+a hot source is many groups; word positions come from sums in two levels.  Shards
+hold about ``shard_words`` words, so their number grows with the input.  A row of the
+tree holds at most ``FAN`` sources: beyond that, ranges of sources are split first,
+then the sources of each range by what the range got, which is the same law.  The
 tables of sources, buckets and shards are small aggregates that are joined, not
-collected.  The tree runs over one row per shard, an array element per source.
+collected, and no row of the corpus carries one of them.
 """
 
 from __future__ import annotations
@@ -24,9 +28,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeseam.llm.shared import WORD, materialise
+from codeseam.llm.shared import WORD, materialise, shuffle_width
 
 WEIGHTS = (5, 2, 1)
+FAN = 256  # sources, or ranges of them, in one row of the tree
+CHUNK = 1024  # blocks of a source whose shards one row of the look-up tells
 
 
 def word_count(text: Column) -> Column:
@@ -106,48 +112,80 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
     return t.withColumn("target", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))).drop("cap", "level")
 
 
-def shard_quotas(targets: DataFrame, shards: int, block: int, seed: int) -> DataFrame:
-    """One row a source: idx and ends, where the shards' ranges of the source's
-    permuted blocks end.  The splitting tree: a row holds the blocks of each
-    source that a range of shards shares; each level halves the ranges."""
-    blocks = F.ceil(F.floor(F.col("target") + 0.5) / block).cast("long")
-    nodes = targets.select(F.struct("idx", blocks.alias("n")).alias("x")).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["n"]).alias("quota"))
-    nodes = nodes.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "quota")
-    for _ in range(max(1, math.ceil(math.log2(shards)))):
-        width, left_width = F.col("hi") - F.col("lo"), F.floor((F.col("hi") - F.col("lo")) / 2).cast("int")
+def block_count(target: Column, block: int) -> Column:
+    return F.ceil(F.floor(target + 0.5) / block).cast("long")
+
+
+def _split(nodes: DataFrame, shards: int, seed: int, level: int) -> DataFrame:
+    """(p, quota, goal): the blocks of p's children, and how many of p each shard
+    gets -> (p, shard, quota of each child).  The splitting tree: each round halves
+    the ranges of shards."""
+    nodes = nodes.select("p", F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "quota", "goal")
+    for _ in range(max(1, math.ceil(math.log2(max(2, shards))))):
+        width = F.col("hi") - F.col("lo")
+        left_width = F.floor(width / 2).cast("int")
         total = F.aggregate("quota", F.lit(0).cast("long"), lambda a, q: a + q)
-        to_left = F.floor(total * left_width / width).cast("long")
+        to_left = F.aggregate(F.slice("goal", F.lit(1), left_width), F.lit(0).cast("long"), lambda a, q: a + q)
 
         def draw(acc: Column, q: Column) -> Column:
-            u = _uniform(F.lit(seed), F.col("lo"), F.col("hi"), F.size(acc["left"]))
+            u = _uniform(F.lit(seed), F.lit(level), F.col("p"), F.col("lo"), F.col("hi"), F.size(acc["left"]))
             x = hypergeometric(acc["total"], q, acc["draws"], u)
             return F.struct((acc["total"] - q).alias("total"), (acc["draws"] - x).alias("draws"), F.concat(acc["left"], F.array(x)).alias("left"))
 
         start = F.struct(total.alias("total"), to_left.alias("draws"), F.array().cast("array<bigint>").alias("left"))
         nodes = nodes.withColumn("left", F.aggregate("quota", start, draw, lambda a: a["left"])).withColumn("mid", F.col("lo") + left_width)
         halves = F.array(
-            F.struct("lo", F.col("mid").alias("hi"), F.col("left").alias("quota")),
-            F.struct(F.col("mid").alias("lo"), "hi", F.zip_with("quota", "left", lambda q, x: q - x).alias("quota")),
+            F.struct("lo", F.col("mid").alias("hi"), F.col("left").alias("quota"), F.slice("goal", F.lit(1), left_width).alias("goal")),
+            F.struct(F.col("mid").alias("lo"), "hi", F.zip_with("quota", "left", lambda q, x: q - x).alias("quota"), F.slice("goal", left_width + 1, width).alias("goal")),
         )
-        nodes = nodes.select(F.explode(F.when(width > 1, halves).otherwise(F.array(F.struct("lo", "hi", "quota")))).alias("h")).select("h.*")
-    each = nodes.select(F.col("lo").alias("shard"), F.posexplode("quota").alias("idx", "quota"))
+        nodes = nodes.select("p", F.explode(F.when(width > 1, halves).otherwise(F.array(F.struct("lo", "hi", "quota", "goal")))).alias("h")).select("p", "h.*")
+    return nodes.select("p", F.col("lo").alias("shard"), "quota")
+
+
+def shard_quotas(targets: DataFrame, shards: int, block: int, seed: int, fan: int = FAN) -> DataFrame:
+    """idx, shard, quota, end: how many of the source's permuted blocks a shard
+    gets, and where its range of them ends."""
+    leaves = targets.select("idx", block_count(F.col("target"), block).alias("n"))
+    count = leaves.count()
+    levels = max(1, math.ceil(math.log(max(2, count), fan)))
+    whole = leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    share = lambda i: F.floor(F.col("n") * i / shards).cast("long")
+    goals = whole.select(F.lit(0).cast("long").alias("p"), F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: share(i + 1) - share(i)).alias("goal"))
+    for level in range(levels - 1, -1, -1):
+        key = F.floor(F.col("idx") / fan**level).cast("long")
+        children = leaves.groupBy(key.alias("c")).agg(F.sum("n").alias("n")).withColumn("p", F.floor(F.col("c") / fan).cast("long"))
+        if level == levels - 1:
+            children = children.withColumn("p", F.lit(0).cast("long"))
+        lists = children.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("cs"))  # at most ``fan``
+        made = _split(lists.join(goals, "p").select("p", F.transform("cs", lambda x: x["n"]).alias("quota"), "goal"), shards, seed, level)
+        each = made.select("p", "shard", F.posexplode("quota").alias("k", "quota")).join(lists.select("p", F.transform("cs", lambda x: x["c"]).alias("cs")), "p")
+        each = each.select(F.get("cs", F.col("k")).alias("p"), "shard", "quota")
+        if level:
+            goals = materialise(each.groupBy("p").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "quota"))), lambda x: x["quota"]).alias("goal")), "mix-ranges")
     so_far = Window.partitionBy("idx").orderBy("shard")
-    return (
-        each.withColumn("end", F.sum("quota").over(so_far))
-        .groupBy("idx")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
-    )
+    return each.select(F.col("p").alias("idx"), "shard", "quota").filter("quota > 0").withColumn("end", F.sum("quota").over(so_far))
+
+
+def shard_chunks(quotas: DataFrame) -> DataFrame:
+    """idx, chunk, ends: of every CHUNK blocks of a source's permuted ones, where the
+    shards' ranges that lie in it end, as an array of (end, shard)."""
+    chunks = F.sequence(F.floor((F.col("end") - F.col("quota")) / CHUNK).cast("long"), F.floor((F.col("end") - 1) / CHUNK).cast("long"))
+    return quotas.select("idx", F.explode(chunks).alias("chunk"), F.struct("end", "shard").alias("e")).groupBy("idx", "chunk").agg(F.array_sort(F.collect_list("e")).alias("ends"))
 
 
-def mix(docs: DataFrame, shards: int = 16, block: int = 4096, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seed: int = 17, bucket_rows: int = 4096, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def _beyond(place: str):
+    return lambda e: e["end"] > F.col(place)
+
+
+def mix(docs: DataFrame, shards: int | None = None, block: int = 4096, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seed: int = 17, bucket_rows: int = 1024, shard_words: int = 1 << 24, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all) in one struct ``doc``, with mix_size (words),
     mix_source_size, mix_target and mix_draws: an array of (shard, ord, from,
     to), one for each time the document is taken, words from .. to - 1, ``ord``
-    its place in the shard.
+    its place in the shard.  shards: by ``shard_words`` unless given.
 
     Null or empty texts have size 0 and are never drawn; null sources are one
     source, the last; equal rows are treated alike; an empty table gives an
-    empty one.  Only the columns kept are shuffled.
+    empty one.  Only the columns kept are shuffled, once.
     """
     t, s = F.col(f"`{text}`"), F.col(f"`{source}`")
     rows = docs.select(
@@ -160,7 +198,8 @@ def mix(docs: DataFrame, shards: int = 16, block: int = 4096, share: float = 1.5
     sizes = materialise(rows.select("is_null", "source", "h", "mix_size"), "mix-sizes")
     per_source = sizes.groupBy("is_null", "source").agg(F.count("*").alias("rows"), F.sum("mix_size").alias("words"))
     targets = materialise(source_targets(per_source, weights, share, cap), "mix-targets")
-    ends = materialise(shard_quotas(targets, shards, block, seed), "mix-shards")
+    shards = shards or max(1, math.ceil((targets.agg(F.sum("target")).first()[0] or 0) / shard_words))
+    chunks = materialise(shard_chunks(shard_quotas(targets, shards, block, seed)), "mix-shards")
 
     key = ["is_null", "source"]
     buckets = F.ceil(F.col("rows") / bucket_rows).cast("long")
@@ -169,53 +208,41 @@ def mix(docs: DataFrame, shards: int = 16, block: int = 4096, share: float = 1.5
     per_bucket = sizes.join(known, key).groupBy(*key, bucket).agg(F.sum("mix_size").alias("in_bucket"))
     earlier = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = materialise(
-        per_bucket.withColumn("base", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0))).join(targets, key).join(ends, "idx"),
+        per_bucket.withColumn("base", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0))).join(targets, key).select(*key, "bucket", "base", "words", "target", "idx"),
         "mix-buckets",
     )
 
-    placed = rows.join(known, key).select("doc", "mix_size", *key, "h", bucket)
+    placed = rows.join(known, key).select("doc", "mix_size", *key, "h", bucket).repartition(shuffle_width(docs), *key, "bucket")
     inside = Window.partitionBy(*key, "bucket").orderBy("h", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
-    placed = placed.join(per_bucket.select(*key, "bucket", "base", "words", "target", "idx", "ends"), [*key, "bucket"])
+    placed = placed.join(per_bucket, [*key, "bucket"])
 
     goal = F.floor(F.col("target") + 0.5).cast("long")
     begin = F.col("base") + F.col("start")
-    n_blocks = F.element_at("ends", -1)
-
-    def draw(again: int) -> Column:
+    draws = []
+    for again in range(math.ceil(cap)):
         at = begin + again * F.col("words")
-        take = F.greatest(F.lit(0), F.least(F.col("mix_size"), goal - at))
-        place = swap_or_not(F.floor(at / block).cast("long"), n_blocks, F.xxhash64(F.lit(seed), "idx"))
-        # the first range that ends beyond the place, by halving
-        shard = F.aggregate(
-            F.sequence(F.lit(0), F.lit(max(1, math.ceil(math.log2(shards + 1))))),
-            F.struct(F.lit(0).alias("lo"), F.lit(shards - 1).alias("hi")),
-            lambda a, _: F.when(a["lo"] >= a["hi"], a).otherwise(
-                F.when(F.get("ends", F.floor((a["lo"] + a["hi"]) / 2).cast("int")) > place, F.struct(a["lo"].alias("lo"), F.floor((a["lo"] + a["hi"]) / 2).cast("int").alias("hi"))).otherwise(
-                    F.struct((F.floor((a["lo"] + a["hi"]) / 2) + 1).cast("int").alias("lo"), a["hi"].alias("hi"))
-                )
-            ),
-            lambda a: a["lo"],
-        )
+        take, place, chunk, ends = (f"{n}{again}" for n in ("take", "place", "chunk", "ends"))
+        placed = placed.withColumn(take, F.greatest(F.lit(0), F.least(F.col("mix_size"), goal - at)))
+        spot = swap_or_not(F.floor(at / block).cast("long"), block_count(F.col("target"), block), F.xxhash64(F.lit(seed), "idx"))
+        placed = placed.withColumn(place, F.when(F.col(take) > 0, spot)).withColumn(chunk, F.floor(F.col(place) / CHUNK).cast("long"))
+        placed = placed.join(chunks.select("idx", F.col("chunk").alias(chunk), F.col("ends").alias(ends)), ["idx", chunk], "left")
+        # the first range that ends beyond the place
+        shard = F.get(F.filter(ends, _beyond(place)), F.lit(0))["shard"]
+        placed = placed.withColumn(ends, shard)
         one = F.struct(
-            shard.alias("shard"),
+            F.col(ends).alias("shard"),
             F.xxhash64(F.lit(seed), F.lit(again), "h", "idx").alias("ord"),
             F.lit(0).cast("long").alias("from"),
-            take.alias("to"),
+            F.col(take).alias("to"),
         )
-        return F.when(take > 0, F.array(one)).otherwise(F.array().cast("array<struct<shard:int,ord:bigint,from:bigint,to:bigint>>"))
-
-    return placed.select(
-        "doc",
-        "mix_size",
-        F.col("words").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        F.concat(*[draw(i) for i in range(math.ceil(cap))]).alias("mix_draws"),
-    )
+        draws.append(F.when(F.col(take) > 0, F.array(one)).otherwise(F.array().cast("array<struct<shard:int,ord:bigint,from:bigint,to:bigint>>")))
+    return placed.select("doc", "mix_size", F.col("words").alias("mix_source_size"), F.col("target").alias("mix_target"), F.concat(*draws).alias("mix_draws"))
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """The contract's columns, one row per document."""
+    """The contract's columns, one row per document: null and empty texts are of
+    size 0 and taken 0 times, null sources are one source, null ids stay null."""
     mixed = mix(docs, keep=["doc_id"])
     return mixed.select(
         F.col("doc.doc_id").alias("doc_id"),
@@ -238,4 +265,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     out = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {"text": text}
     if "n_chars" in out:
         out["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return drawn.repartition("d.shard", F.pmod("d.ord", F.lit(64))).sortWithinPartitions("d.shard", "d.ord").select(*[c.alias(n) for n, c in out.items()])
+    return drawn.repartition(shuffle_width(docs), "d.shard", F.pmod("d.ord", F.lit(64))).sortWithinPartitions("d.shard", "d.ord").select(*[c.alias(n) for n, c in out.items()])

@@ -108,3 +108,30 @@ def test_mixed_documents(spark, sample):
         assert words == of[: len(words)] and r.n_chars == len(r.text)
         cut += r.text != whole[r.doc_id]
     assert cut <= 2 * 20
+
+
+def test_many_sources_and_shards(spark, make_docs, monkeypatch):
+    """Ranges of sources are split before sources; quotas stay exact."""
+    rng = random.Random(5)
+    docs = make_docs([(i, " ".join(["w"] * rng.randint(1, 30)), f"s{rng.randint(0, 69)}") for i in range(1500)])
+    sizes = docs.select(F.col("source").isNull().alias("is_null"), "source", mixing.word_count(F.col("text")).alias("n")).groupBy("is_null", "source").agg(F.count("*").alias("rows"), F.sum("n").alias("words"))
+    targets = mixing.source_targets(sizes)
+    blocks = {r.idx: r.n for r in targets.select("idx", mixing.block_count(F.col("target"), 16).alias("n")).collect()}
+    for shards in (1, 3, 11):
+        got = mixing.shard_quotas(targets, shards, 16, 1, fan=4).collect()
+        per_source, per_shard = Counter(), Counter()
+        for r in got:
+            per_source[r.idx] += r.quota
+            per_shard[r.shard] += r.quota
+        assert per_source == Counter({k: v for k, v in blocks.items() if v})
+        assert max(per_shard.values()) - min(per_shard.values()) <= 1 and len(per_shard) == shards
+    monkeypatch.setattr(mixing, "CHUNK", 3)
+    check(docs, mixing.mix(docs, shards=7, block=16, keep=["doc_id"]).select(F.col("doc.doc_id").alias("doc_id"), F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.aggregate("mix_draws", F.lit(0).cast("long"), lambda a, d: a + d["to"] - d["from"]).alias("taken")).collect())
+    found = mixing.mix(docs, shards=7, block=16).select(F.explode("mix_draws").alias("d")).select("d.shard").groupBy("shard").count().collect()
+    assert {r.shard for r in found} == set(range(7))
+
+
+def test_shards_grow_with_the_words(spark, make_docs):
+    docs = make_docs([(i, "w " * 100, "s") for i in range(40)])
+    shards = {r.shard for r in mixing.mix(docs, shard_words=1000, block=64).select(F.explode("mix_draws").alias("d")).select("d.shard").collect()}
+    assert shards == set(range(6))
