@@ -36,3 +36,26 @@ def test_large_components(spark):
     rows = [(i, [float(2**21 + i), -float(i)]) for i in range(0, 60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, topk.op10(df).collect())) == brute(rows)
+
+
+def test_blocks_are_read_when_their_bound_survives(tmp_path, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = np.sort(rng.integers(-50, 50, (4000, 6)), axis=0)
+    ids = np.arange(4000)
+    v.tofile(tmp_path / "0-6.v")
+    ids.tofile(tmp_path / "0-6.id")
+    np.array([(v[s : s + 100].max(axis=0), v[s : s + 100].min(axis=0)) for s in range(0, 4000, 100)]).tofile(tmp_path / "0-6.bound")
+    stored, read = topk.Stored(str(tmp_path), 0, 6, 100), []
+
+    class Seen:
+        def __getitem__(self, part):
+            read.append(part.start // 100)
+            return v[part]
+
+    stored.v = Seen()
+    got = list(topk.search(ids[:2], v[[3999, 0]], [stored], 5, held=8 * 100 * 7 * 2))
+    for q, (_, i, s) in zip(v[[3999, 0]], got):
+        want = sorted(zip(-(v @ q), ids))
+        want = [(x, n) for x, n in want if n != _][:5]
+        assert [(-x, n) for x, n in zip(s, i)] == want
+    assert 0 < len(set(read)) < 20
