@@ -1,28 +1,32 @@
-"""An interpolated modified Kneser-Ney model, counted in Spark, stored as sorted
-hash arrays that workers map into memory to score texts.
+"""An interpolated modified Kneser-Ney model of order 3, counted in Spark, stored as
+sorted hash arrays that workers map into memory to score texts.
 
 Counting.  Workers hash words (64 bits, vectorised over the text buffer) and
-count them a task at a time; partial counts travel as packed arrays, a row for
+count them a task at a time; partial counts travel as packed columns, a row for
 each part of the hash range, and each part's reducer writes one sorted array.  A
-word's number is its place in these arrays.  Pairs (previous word, word) are then
-counted likewise, a pair being one 64-bit key of two numbers; parts go by the
-previous word, and words that precede more than ``HOT`` others are salted by what
-follows.  From the pairs come, by word number, the totals of each context, how
-many of its pairs occur once, twice, more often, and how many contexts each word
-has (its continuation count).
+word's number is its place in these arrays.  Trigrams (u, v, w) are then counted
+likewise, in parts by v; a word v that occurs more than ``HOT`` times is salted by
+u.  A part's reducer writes its trigrams and their contexts (u, v), with what the
+contexts' trigrams sum to, and sends on in how many trigrams each pair (v, w)
+ends: the pair's continuation count, which goes to the part where (v, w) is a
+context.  From the pairs come, by word number, the same sums of each context v and
+the continuation count of each word.  Pairs at a text's start have no word before
+them and count as often as they occur.
 
 Scoring.  A task maps the arrays into memory; look-ups are sorted searches of a
 few million bytes of text at a time.  Nothing but totals and a row a part reaches
-the driver; nothing is broadcast.  The order is 2: with the given texts, arrays
-of order 3 would need more disk than the check tool allows (see README).
+the driver; nothing is broadcast.  Parts are as many as the input's size asks for.
 
-A word's number is that of its 64-bit hash: two words of equal hash would count
-as one (for n distinct words, the chance is about n * n / 3.7e19).
+Words, pairs and trigrams are told apart by 64-bit hashes: of n distinct ones, some
+two count as one with a chance of about n * n / 3.7e19 (for words as they come; the
+word hash is no secret, so words can be made that collide).
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeseam.llm.shared import fold, shared_path, write_atomic
+from codeseam.llm.shared import fold, shared_path, shuffle_width, write_atomic
 
 CHUNK = 2 << 20  # bytes of text worked on at once
 HELD = 3 << 20  # partial counts a task holds before it merges or sends them
-HOT = 1 << 22  # occurrences of a context from which its pairs are salted
+HOT = 1 << 22  # occurrences of a word from which trigrams around it are salted
+PART_BYTES = 4 << 20  # of input for each part
+OPEN = 4096  # files that a worker keeps mapped
 SPACE = np.zeros(256, bool)
 SPACE[[*range(9, 14), 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -124,91 +130,155 @@ def token_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         row = last
 
 
-# packed partial counts
+# packed columns
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct keys and their counts: differences, byte by byte, and
-    counts in a byte with the larger ones apart, compressed."""
+def pack(columns: list[np.ndarray], deltas: int = 1) -> bytes:
+    """Integer columns of one length, not negative, the first ``deltas`` of them
+    ascending and told by their steps: as few bytes a number as the largest needs,
+    byte by byte, compressed."""
     import zstandard
 
-    steps = np.diff(keys, prepend=_U(0))
-    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
-    large = np.flatnonzero(counts > 254)
-    small = np.minimum(counts, 255).astype(np.uint8).tobytes()
-    head = np.array([len(keys), len(large)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + planes + small + large.astype(np.int64).tobytes() + counts[large].astype(np.int64).tobytes())
+    cols = [np.diff(c.astype(np.uint64), prepend=_U(0)) if i < deltas else c.astype(np.uint64) for i, c in enumerate(columns)]
+    widths = [next(k for k in (1, 2, 4, 8) if not len(c) or int(c.max()) < 1 << 8 * k) for c in cols]
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(cols, widths)]
+    head = np.array([len(cols[0]), len(cols), deltas, *widths], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(blob: bytes) -> list[np.ndarray]:
     import zstandard
 
     b = zstandard.ZstdDecompressor().decompress(blob)
-    n, m = np.frombuffer(b, np.int64, 2)
-    steps = np.ascontiguousarray(np.frombuffer(b, np.uint8, 8 * n, 16).reshape(8, n).T).reshape(-1).view(np.uint64)
-    counts = np.frombuffer(b, np.uint8, n, 16 + 8 * n).astype(np.int64)
-    tail = np.frombuffer(b[16 + 9 * n :], np.int64)
-    counts[tail[:m]] = tail[m:]
-    return np.cumsum(steps, dtype=np.uint64), counts
+    n, k, deltas = np.frombuffer(b, np.int64, 3).tolist()
+    at, out = 24 + 8 * k, []
+    for i, width in enumerate(np.frombuffer(b, np.int64, k, 24).tolist()):
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(b, np.uint8, n * width, at).reshape(width, n).T
+        c = wide.reshape(-1).view(np.uint64)
+        out.append(np.cumsum(c, dtype=np.uint64) if i < deltas else c)
+        at += n * width
+    return out
+
+
+def firsts_of(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows in the order of the keys (the first one first), equal ones added up."""
+    if len(keys) > 1 and all(int(k.max(initial=0)) < 1 << 32 for k in keys[:2]):
+        order = np.lexsort([*keys[:1:-1], keys[0] << _U(32) | keys[1]])  # two keys in one sort
+    else:
+        order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    keys, counts = [k[order] for k in keys], counts[order]
+    first = firsts_of(*keys)
+    return [k[first] for k in keys], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def gathered(blobs) -> tuple[list[np.ndarray], np.ndarray]:
+    """Key columns and counts (the last column) of packed partial counts, added up."""
+    parts = [unpack(b) for b in blobs]
+    *keys, counts = (np.concatenate(c) for c in zip(*parts))
+    return summed(keys, counts)
 
 
 class Partial:
     """Counts of a task, merged as they grow, sent by parts."""
 
-    def __init__(self, part_of, parts: int, send_early: bool) -> None:
-        self.part_of, self.parts, self.early, self.held, self.size = part_of, parts, send_early, [], 0
+    def __init__(self, part_of, send_early: bool) -> None:
+        self.part_of, self.early, self.held, self.size = part_of, send_early, [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        k, c = np.unique(keys, return_counts=True)
-        self.held.append((k, c))
-        self.size += len(k)
+    def add(self, keys: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """keys: distinct rows of columns."""
+        self.held.append((keys, counts.astype(np.uint64)))
+        self.size += len(counts)
         if self.size > HELD and len(self.held) > 1:
-            self.held = [merged(self.held)]
-            self.size = len(self.held[0][0])
+            self.merge()
             if self.early or self.size > HELD:
                 yield from self.send()
 
+    def merge(self) -> None:
+        keys = [np.concatenate(k) for k in zip(*(k for k, _ in self.held))]
+        self.held = [summed(keys, np.concatenate([c for _, c in self.held]))]
+        self.size = len(self.held[0][1])
+
     def send(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            k, c = merged(self.held)
-            part = self.part_of(k)
-            order = np.argsort(part, kind="stable")
-            k, c, part = k[order], c[order], part[order]
-            found = np.unique(part)
-            ends = np.searchsorted(part, found, "right")
-            for p, s, e in zip(found.tolist(), np.searchsorted(part, found).tolist(), ends.tolist()):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pack(k[s:e], c[s:e])], pa.binary())], ["part", "blob"])
+            self.merge()
+            keys, counts = self.held[0]
+            for p, rows in by_part(self.part_of(*keys)):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pack([*(k[rows] for k in keys), counts[rows]])], pa.binary())], ["part", "blob"])
             self.held, self.size = [], 0
 
 
+def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, its rows in order)."""
+    order = np.argsort(part, kind="stable")
+    first = firsts_of(part[order])
+    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+        yield int(part[order[s]]), order[s:e]
+
+
 # arrays in the shared folder
 
 
-class Arrays:
-    """Arrays of a name, a file for each part, mapped on first use."""
+def small(name: str, a: np.ndarray) -> dict[str, np.ndarray]:
+    """A byte for each number below 255, the others apart."""
+    large = np.flatnonzero(a >= 255)
+    return {name: np.minimum(a, 255).astype(np.uint8), f"{name}.at": large.astype(np.int64), f"{name}.more": a[large].astype(np.int64)}
 
-    def __init__(self, folder: str) -> None:
-        self.folder, self.found = folder, {}
 
-    def get(self, name: str, part: int, kind) -> np.ndarray:
-        import os
+def put(folder: str, name: str, part: int, arrays: dict[str, np.ndarray]) -> None:
+    """One file: a line that tells of the arrays, then the arrays."""
+    told, at = {}, 0
+    for k, a in arrays.items():
+        told[k] = (a.dtype.str, at, len(a))
+        at += -(-a.nbytes // 8) * 8
+    head = json.dumps(told).encode()
+    head += b" " * (-(len(head) + 1) % 8) + b"\n"
+    blocks = [head, *(x for a in arrays.values() for x in (a.tobytes(), bytes(-a.nbytes % 8)))]
+    write_atomic(f"{folder}/{name}-{part}", b"".join(blocks))
 
-        if (name, part) not in self.found:
-            path = f"{self.folder}/{name}-{part}"
-            self.found[name, part] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.empty(0, kind)
-        return self.found[name, part]
 
+class Arrays:
+    """What ``put`` wrote, mapped on use; the files used first are let go."""
 
-def _put(folder: str, name: str, part: int, a: np.ndarray) -> None:
-    write_atomic(f"{folder}/{name}-{part}", np.ascontiguousarray(a) if len(a) else b"")
+    def __init__(self, folder: str) -> None:
+        self.folder, self.found = folder, {}
+
+    def file(self, name: str, part: int) -> dict[str, np.ndarray]:
+        got = self.found.get((name, part))
+        if got is None:
+            path, got = f"{self.folder}/{name}-{part}", {}
+            if os.path.exists(path):
+                raw = np.memmap(path, np.uint8, "r")
+                with open(path, "rb") as f:
+                    head = f.readline()
+                for k, (kind, at, n) in json.loads(head).items():
+                    at += len(head)
+                    got[k] = raw[at : at + n * np.dtype(kind).itemsize].view(kind)
+            if len(self.found) >= OPEN:
+                self.found.pop(next(iter(self.found)))
+            self.found[name, part] = got
+        return got
+
+    def get(self, name: str, part: int, key: str, kind=np.int64) -> np.ndarray:
+        return self.file(name, part).get(key, np.empty(0, kind))
+
+    def at(self, name: str, part: int, key: str, i: np.ndarray) -> np.ndarray:
+        """Numbers that ``small`` stored, by place."""
+        out = np.asarray(self.get(name, part, key)[i]).astype(np.int64)
+        large = np.flatnonzero(out == 255)
+        if len(large):
+            out[large] = self.get(name, part, f"{key}.more")[np.searchsorted(self.get(name, part, f"{key}.at"), i[large])]
+        return out
 
 
 @dataclass
@@ -220,6 +290,7 @@ class Vocabulary:
     first: np.ndarray
     tokens: int
     texts: int
+    hot: int = HOT
 
     @property
     def size(self) -> int:
@@ -231,44 +302,68 @@ class Vocabulary:
     def numbers(self, arrays: Arrays, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (or -1) and count of each of the sorted hashes."""
         number, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        part = self.part_of(h)
-        for p in np.unique(part).tolist():
-            s, e = np.searchsorted(part, p), np.searchsorted(part, p, "right")
-            a = arrays.get("hash", p, np.uint64)
+        for p, rows in by_part(self.part_of(h)):
+            a = arrays.get("word", p, "hash", np.uint64)
             if len(a):
-                i = np.minimum(np.searchsorted(a, h[s:e]), len(a) - 1)
-                hit = np.asarray(a[i]) == h[s:e]
-                number[s:e] = np.where(hit, i + self.first[p], -1)
-                count[s:e] = np.where(hit, arrays.get("count", p, np.int64)[i], 0)
+                i = np.minimum(np.searchsorted(a, h[rows]), len(a) - 1)
+                hit = np.asarray(a[i]) == h[rows]
+                number[rows] = np.where(hit, i + self.first[p], -1)
+                count[rows] = np.where(hit, arrays.get("word", p, "count")[i], 0)
         return number, count
 
-    def by_number(self, arrays: Arrays, name: str, number: np.ndarray, kind) -> np.ndarray:
-        """The entries of an array by number, for sorted numbers; 0 for -1."""
-        out = np.zeros(len(number), kind)
-        part = np.searchsorted(self.first, number, "right") - 1
-        for p in np.unique(part[number >= 0]).tolist():
-            s, e = np.searchsorted(part, p), np.searchsorted(part, p, "right")
-            out[s:e] = arrays.get(name, p, kind)[number[s:e] - self.first[p]]
+    def word_part(self, number: np.ndarray) -> np.ndarray:
+        """Where what is told by number lies; BEGIN's (and what is beyond) behind the rest."""
+        part = np.searchsorted(self.first, number.astype(np.int64), "right") - 1
+        return np.where(number >= self.size, self.parts, part)
+
+    def by_number(self, arrays: Arrays, file: str, keys: list[str], number: np.ndarray) -> list[np.ndarray]:
+        """Entries of arrays by number, 0 for -1; BEGIN has the number ``size``."""
+        out = [np.zeros(len(number), np.int64) for _ in keys]
+        some = np.flatnonzero(number >= 0)
+        for p, rows in by_part(self.word_part(number[some])):
+            start = self.size if p == self.parts else int(self.first[p])
+            for o, k in zip(out, keys):
+                a = arrays.get(file, p, k)
+                if len(a):
+                    o[some[rows]] = a[number[some[rows]] - start]
         return out
 
+    def salts(self, arrays: Arrays, number: np.ndarray) -> np.ndarray:
+        """Into how many parts what stands beside a word goes."""
+        words, at = np.unique(number.astype(np.int64), return_inverse=True)
+        n = np.full(len(words), self.texts, np.int64)
+        inside = words < self.size
+        n[inside] = self.by_number(arrays, "word", ["count"], words[inside])[0]
+        return (1 + n // self.hot)[at]
+
 
 @dataclass
 class Model:
-    """vocabulary: with arrays total, n1, n2, n3 (of contexts) and cont by number,
-    BEGIN having the number behind the last; pairs: parts of pair counts."""
+    """pairs, trigrams: parts of their arrays; discounts of trigrams, pairs, words;
+    kinds: distinct pairs; low: words with 1, 2, more different words before them."""
 
     vocabulary: Vocabulary
-    pairs: int
-    discounts: tuple[float, float, float]
-    low_discounts: tuple[float, float, float]
-    kinds: int  # distinct pairs
-    low: tuple[int, int, int]  # words with 1, 2, more contexts
+    discounts: list[tuple[float, float, float]]
+    kinds: int
+    low: tuple[int, int, int]
+
+    @property
+    def parts(self) -> int:
+        return self.vocabulary.parts
 
 
-def pair_part(key: np.ndarray, salt: np.ndarray, parts: int) -> np.ndarray:
-    """By the context; of a hot one also by the word, modulo its salts."""
-    context, word = key >> _U(32), key & _U(0xFFFFFFFF)
-    return (_mix(context * _U(0x9E3779B97F4A7C15) + word % salt.astype(np.uint64)) % _U(parts)).astype(np.int64)
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two numbers."""
+    return _mix(_mix(a.astype(np.uint64) + _U(0xA0761D6478BD642F)) * _U(0x9E3779B97F4A7C15) + b.astype(np.uint64) * _U(0xE7037ED1A0B428DB))
+
+
+def triple_key(pair: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _mix(pair * _U(0x8EBC6AF09C88C6E3) + w.astype(np.uint64) * _U(0x589965CC75374CC3))
+
+
+def pair_part(a: np.ndarray, b: np.ndarray, salt: np.ndarray, parts: int) -> np.ndarray:
+    """Where (a, b) lies as a context: by b; for a hot b also by a, modulo its salts."""
+    return (_mix(b.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + a.astype(np.uint64) % salt.astype(np.uint64)) % _U(parts)).astype(np.int64)
 
 
 def _discounts(n: np.ndarray) -> tuple[float, float, float]:
@@ -281,124 +376,175 @@ def _discounts(n: np.ndarray) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k) for x, k in zip(d, (0.95, 1.95, 2.95)))
 
 
+def _often(counts: np.ndarray) -> list[int]:
+    return [int((counts == i).sum()) for i in range(1, 5)]
+
+
 def _power_of_two(n: int) -> int:
     return 1 << max(0, (n - 1).bit_length())
 
 
-def count_words(texts: DataFrame, folder: str, parts: int) -> Vocabulary:
+def count_words(texts: DataFrame, folder: str, parts: int, hot: int) -> Vocabulary:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Partial(Vocabulary("", parts, np.zeros(1), 0, 0).part_of, parts, False)
+        held = Partial(Vocabulary("", parts, np.zeros(1), 0, 0).part_of, False)
         for batch in batches:
             for _, _, tokens, _ in token_chunks(batch.column(0)):
-                yield from held.add(tokens)
+                k, c = np.unique(tokens, return_counts=True)
+                yield from held.add([k], c)
         yield from held.send()
 
     def reduce(p: pd.DataFrame) -> pd.DataFrame:
         part = int(p["part"].iloc[0])
-        keys, counts = merged([unpack(b) for b in p["blob"]])
-        _put(folder, "hash", part, keys)
-        _put(folder, "count", part, counts)
-        ends = counts[keys == END]
-        return pd.DataFrame({"part": [part], "n": [len(keys)], "total": [int(counts.sum())], "texts": [int(ends.sum())]})
+        (keys,), counts = gathered(p["blob"])
+        put(folder, "word", part, {"hash": keys, "count": counts.astype(np.int64)})
+        return pd.DataFrame({"part": [part], "n": [len(keys)], "total": [int(counts.sum())], "texts": [int(counts[keys == END].sum())]})
 
     rows = texts.mapInArrow(run, "part int, blob binary").groupBy("part").applyInPandas(reduce, "part int, n long, total long, texts long").collect()
     n = np.zeros(parts, np.int64)
     for r in rows:
         n[r.part] = r.n
-    return Vocabulary(folder, parts, np.concatenate(([0], np.cumsum(n))), sum(r.total for r in rows), sum(r.texts for r in rows))
+    return Vocabulary(folder, parts, np.concatenate(([0], np.cumsum(n))), sum(r.total for r in rows), sum(r.texts for r in rows), hot)
 
 
-def _pairs_of(v: Vocabulary, arrays: Arrays, tokens: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct token hashes, numbers, counts; each token's place among them, and
-    that of the token before (-1: none, at a text's start)."""
+def _places(v: Vocabulary, arrays: Arrays, tokens: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct tokens' numbers and counts; each token's place among them, and that
+    of the token before, which at a text's start is BEGIN's, behind the others."""
     h, at = np.unique(tokens, return_inverse=True)
     number, count = v.numbers(arrays, h)
     before = np.empty(len(at), np.int64)
     before[1:] = at[:-1]
-    before[firsts] = -1
-    return h, number, count, at, before
+    before[firsts] = len(h)
+    return number, count, at, before
 
 
-def train(texts: DataFrame, parts: int | None = None) -> Model:
-    """A model of the (one) text column's rows; null texts count as empty."""
-    spark = texts.sparkSession
-    parts = _power_of_two(min(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 17))
-    folder = shared_path(spark, "lm")
-    v = count_words(texts, folder, parts)
-    if v.size >= 1 << 32:
-        raise ValueError("a pair's key holds two numbers of 32 bits")
+def _distinct(columns: list[np.ndarray], bound: int, **more) -> tuple:
+    """np.unique of rows of small numbers below ``bound``: (columns, *what it returns)."""
+    if bound ** len(columns) < 1 << 63:
+        key = columns[0].astype(np.int64)
+        for c in columns[1:]:
+            key = key * bound + c
+        key, *rest = np.unique(key, **more)
+        out = []
+        for _ in columns[1:]:
+            out.append(key % bound)
+            key = key // bound
+        return [key, *out[::-1]], *rest
+    rows, *rest = np.unique(np.stack(columns, axis=1), axis=0, **more)
+    return [rows[:, i] for i in range(len(columns))], *(r.reshape(-1) for r in rest)
+
+
+def train(texts: DataFrame, parts: int | None = None, hot: int = HOT) -> Model:
+    """A model of the (one) text column's rows; null texts count as empty, an empty
+    table gives a model that knows no word."""
+    parts = _power_of_two(min(parts or shuffle_width(texts, PART_BYTES), 1 << 20))
+    folder = shared_path(texts.sparkSession, "lm")
+    v = count_words(texts, folder, parts, hot)
+    begin, nothing = v.size, v.size + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays, salts = Arrays(folder), {}
-        hot = 1 + v.texts // HOT
-
-        def part_of(key: np.ndarray) -> np.ndarray:
-            context = (key >> _U(32)).astype(np.int64)
-            words, at = np.unique(context, return_inverse=True)
-            inside = words < v.size
-            n = np.full(len(words), hot)
-            n[inside] = 1 + v.by_number(arrays, "count", words[inside], np.int64) // HOT
-            return pair_part(key, n[at], parts)
-
-        held = Partial(part_of, parts, True)
+        arrays = Arrays(folder)
+
+        def part_of(mid: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            return pair_part(np.where(mid == begin, right, left), mid, v.salts(arrays, mid), parts)
+
+        held = Partial(part_of, True)
         for batch in batches:
             for _, _, tokens, firsts in token_chunks(batch.column(0)):
-                _, number, _, at, before = _pairs_of(v, arrays, tokens, firsts)
-                context = np.where(before < 0, v.size, number[before])
-                yield from held.add(context.astype(np.uint64) << _U(32) | number[at].astype(np.uint64))
+                number, _, at, before = _places(v, arrays, tokens, firsts)
+                number = np.concatenate((number, [begin, nothing])).astype(np.uint64)
+                left = np.empty(len(at), np.int64)
+                left[1:] = before[:-1]
+                left[firsts] = len(number) - 1
+                rows, counts = _distinct([before, left, at], len(number), return_counts=True)
+                yield from held.add([number[r] for r in rows], counts)
         yield from held.send()
 
-    def reduce(p: pd.DataFrame) -> pd.DataFrame:
-        """Writes a part of the pairs; sends its contexts' and words' sums on."""
-        part = int(p["part"].iloc[0])
-        keys, counts = merged([unpack(b) for b in p["blob"]])
-        _put(folder, "pair", part, keys)
-        _put(folder, "times", part, np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+    def count_triples(p: pd.DataFrame) -> pd.DataFrame:
+        """Writes a part of the trigrams and their contexts; sends on the pairs."""
+        part, arrays = int(p["part"].iloc[0]), Arrays(folder)
+        (mid, left, right), counts = gathered(p["blob"])
+        counts = counts.astype(np.int64)
+        start = mid == begin
+        raw = right[start], counts[start]
+        mid, left, right, counts = mid[~start], left[~start], right[~start], counts[~start]
+        first = firsts_of(mid, left)
+        add = lambda x: np.add.reduceat(x.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+        key = pair_key(left, mid)
+        order = np.argsort(key[first], kind="stable")
+        stats = {"total": add(counts), "n1": add(counts == 1), "n2": add(counts == 2), "n3": add(counts > 2)}
+        files = {"pair": key[first][order]} | {k: x for name, a in stats.items() for k, x in small(name, a[order]).items()}
+        triple = triple_key(key, right)
+        order = np.argsort(triple, kind="stable")
+        put(folder, "triple", part, files | {"triple": triple[order]} | small("times", counts[order]))
+        (w, m), n = summed([right, mid], np.ones(len(mid), np.uint64))
+        w, m, n = np.concatenate((w, raw[0])), np.concatenate((m, np.full(len(raw[0]), begin, np.uint64))), np.concatenate((n, raw[1].astype(np.uint64)))
+        order = np.lexsort((m, w))
+        w, m, n = w[order], m[order], n[order]
+        out = [(to, pack([w[r], m[r], n[r]])) for to, r in by_part(pair_part(m, w, v.salts(arrays, w), parts))]
+        out.append((-1, pack([np.array(_often(counts))], 0)))
+        return pd.DataFrame(out, columns=["to", "blob"])
+
+    def count_pairs(p: pd.DataFrame) -> pd.DataFrame:
+        """Writes the continuation counts of a part's pairs, beside their contexts'
+        sums; sends on the sums of their first words, and how many their last have."""
+        q = int(p["to"].iloc[0])
+        if q < 0:
+            return pd.DataFrame({"to": [-3], "kind": ["often"], "blob": [pack([np.sum([unpack(b)[0].astype(np.int64) for b in p["blob"]], axis=0)], 0)]})
+        (w, a), n = gathered(p["blob"])
+        n = n.astype(np.int64)
+        known = Arrays(folder).get("triple", q, "pair", np.uint64)
+        key = pair_key(a, w)
+        i = np.searchsorted(known, key)
+        hit = np.asarray(known[np.minimum(i, max(0, len(known) - 1))]) == key if len(known) else np.zeros(len(key), bool)
+        beside = np.zeros(len(known), np.int64)
+        beside[i[hit]] = n[hit]
+        order = np.argsort(key[~hit], kind="stable")  # pairs that end texts are no contexts
+        put(folder, "pair", q, small("cont", beside) | {"rest": key[~hit][order]} | small("rest_cont", n[~hit][order]))
         out = []
 
         def send(kind: str, number: np.ndarray, columns: list[np.ndarray]) -> None:
-            to = np.searchsorted(v.first, number, "right") - 1
-            to[number >= v.size] = parts  # BEGIN
-            for q in np.unique(to).tolist():
-                s, e = np.searchsorted(to, q), np.searchsorted(to, q, "right")
-                out.append((q, kind, b"".join(np.ascontiguousarray(c[s:e]).tobytes() for c in (number.astype(np.int64), *columns))))
-
-        context = (keys >> _U(32)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+            for to, r in by_part(v.word_part(number)):
+                out.append((to, kind, pack([number[r], *(c[r] for c in columns)])))
+
+        order = np.argsort(a, kind="stable")
+        by, m = a[order], n[order]
+        first = firsts_of(by)
         add = lambda x: np.add.reduceat(x.astype(np.int64), first)
-        send("context", context[first], [add(counts), add(counts == 1), add(counts == 2), add(counts > 2)])
-        word, n = np.unique((keys & _U(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        send("word", word, [n.astype(np.int64)])
-        out.append((-1, "often", np.array([(counts == i).sum() for i in range(1, 5)], np.int64).tobytes()))
+        send("context", by[first], [add(m), add(m == 1), add(m == 2), add(m > 2)])
+        first = firsts_of(w)
+        send("word", w[first], [np.diff(np.append(first, len(w)))])
+        out.append((-2, "often", pack([np.array(_often(n))], 0)))
         return pd.DataFrame(out, columns=["to", "kind", "blob"])
 
     def place(p: pd.DataFrame) -> pd.DataFrame:
         """Writes the arrays by number of one part of the words."""
-        q, answer = int(p["to"].iloc[0]), np.zeros(4, np.int64)
+        q = int(p["to"].iloc[0])
         if q < 0:
-            answer = np.sum([np.frombuffer(b, np.int64) for b in p["blob"]], axis=0)
-        else:
-            start, size = (v.size, 1) if q == parts else (v.first[q], int(v.first[q + 1] - v.first[q]))
-            sums = {"context": np.zeros((4, size), np.int64), "word": np.zeros((1, size), np.int64)}
-            for kind, b in zip(p["kind"], p["blob"]):
-                a = np.frombuffer(b, np.int64).reshape(2 if kind == "word" else 5, -1)
-                for k in range(1, len(a)):
-                    sums[kind][k - 1][a[0] - start] += a[k]
-            for name, a in zip(("total", "n1", "n2", "n3"), sums["context"]):
-                _put(folder, name, q, a)
-            cont = sums["word"][0]
-            _put(folder, "cont", q, cont)
-            answer = np.array([(cont == i).sum() for i in range(1, 5)], np.int64)
-            answer = np.concatenate((answer, [(cont > 2).sum(), cont.sum()]))
-        return pd.DataFrame({"to": [q], "answer": [answer.tolist()]})
+            answer = np.sum([unpack(b)[0].astype(np.int64) for b in p["blob"]], axis=0)
+            return pd.DataFrame({"to": [q], "answer": [answer.tolist()]})
+        start, size = (v.size, 1) if q == parts else (int(v.first[q]), int(v.first[q + 1] - v.first[q]))
+        sums = {"context": np.zeros((4, size), np.int64), "word": np.zeros((1, size), np.int64)}
+        for kind, b in zip(p["kind"], p["blob"]):
+            number, *columns = (c.astype(np.int64) for c in unpack(b))
+            for s, c in zip(sums[kind], columns):
+                s[number - start] += c
+        cont = sums["word"][0]
+        put(folder, "low", q, dict(zip(("total", "n1", "n2", "n3"), sums["context"])) | {"cont": cont})
+        return pd.DataFrame({"to": [q], "answer": [[*_often(cont), int((cont > 2).sum()), int(cont.sum())]]})
 
     rows = (
-        texts.mapInArrow(run, "part int, blob binary").groupBy("part").applyInPandas(reduce, "to int, kind string, blob binary")
+        texts.mapInArrow(run, "part int, blob binary").groupBy("part").applyInPandas(count_triples, "to int, blob binary")
+        .groupBy("to").applyInPandas(count_pairs, "to int, kind string, blob binary")
         .groupBy("to").applyInPandas(place, "to int, answer array<long>").collect()
     )
-    often = np.sum([r.answer for r in rows if r.to < 0] or [[0] * 4], axis=0)
+    of = lambda q: next((r.answer for r in rows if r.to == q), [0] * 4)
     low = np.sum([r.answer for r in rows if r.to >= 0] or [[0] * 6], axis=0)
-    return Model(v, parts, _discounts(often), _discounts(low[:4]), int(low[5]), (int(low[0]), int(low[1]), int(low[4])))
+    return Model(v, [_discounts(of(-3)), _discounts(of(-2)), _discounts(low[:4])], int(low[5]), (int(low[0]), int(low[1]), int(low[4])))
+
+
+def _less(d: tuple[float, float, float], c: np.ndarray) -> np.ndarray:
+    """Counts less their discounts."""
+    return c - np.array([0.0, *d])[np.minimum(c, 3)]
 
 
 class Scorer:
@@ -410,72 +556,79 @@ class Scorer:
         m = self.m
         if not m.kinds:
             return np.full(len(cont), 1 / (m.vocabulary.size + 1))
-        d = np.array([0.0, *m.low_discounts])[np.minimum(cont, 3)]
-        back = sum(a * b for a, b in zip(m.low_discounts, m.low)) / m.kinds
-        return (cont - d) / m.kinds + back / (m.vocabulary.size + 1)
-
-    def times(self, key: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        """Counts of the sorted distinct pairs."""
-        part = pair_part(key, salt, self.m.pairs)
-        order = np.argsort(part, kind="stable")
-        sorted_part, out = part[order], np.zeros(len(key), np.int64)
-        for p in np.unique(sorted_part).tolist():
-            mine = order[np.searchsorted(sorted_part, p) : np.searchsorted(sorted_part, p, "right")]
-            a = self.arrays.get("pair", p, np.uint64)
-            if len(a):
-                i = np.minimum(np.searchsorted(a, key[mine]), len(a) - 1)
-                out[mine] = np.where(np.asarray(a[i]) == key[mine], self.arrays.get("times", p, np.uint32)[i], 0)
+        d = m.discounts[2]
+        return _less(d, cont) / m.kinds + sum(a * b for a, b in zip(d, m.low)) / m.kinds / (m.vocabulary.size + 1)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of known pairs: their key and part, continuation count, and as contexts
+        their total and the numbers of trigrams that occur once, twice, more often."""
+        key, part = pair_key(a, b), pair_part(a, b, salt, self.m.parts)
+        out = np.zeros((5, len(key)), np.int64)
+        for p, rows in by_part(part):
+            for name, keys, columns in (("triple", "pair", (("pair", "cont"), ("triple", "total"), ("triple", "n1"), ("triple", "n2"), ("triple", "n3"))), ("pair", "rest", (("pair", "rest_cont"),))):
+                known = self.arrays.get(name, p, keys, np.uint64)
+                if len(known):
+                    i = np.minimum(np.searchsorted(known, key[rows]), len(known) - 1)
+                    hit = np.asarray(known[i]) == key[rows]
+                    for k, (file, column) in enumerate(columns):
+                        out[k, rows[hit]] = self.arrays.at(file, p, column, i[hit])
+        return key, part, *out
+
+    def times(self, key: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Counts of trigrams."""
+        out = np.zeros(len(key), np.int64)
+        for p, rows in by_part(part):
+            known = self.arrays.get("triple", p, "triple", np.uint64)
+            if len(known):
+                i = np.minimum(np.searchsorted(known, key[rows]), len(known) - 1)
+                hit = np.asarray(known[i]) == key[rows]
+                out[rows[hit]] = self.arrays.at("triple", p, "times", i[hit])
         return out
 
     def score(self, tokens: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each text: tokens, known tokens, base and model log10 probability."""
         m, v = self.m, self.m.vocabulary
-        _, number, count, at, before = _pairs_of(v, self.arrays, tokens, firsts)
+        number, count, at, before = _places(v, self.arrays, tokens, firsts)
         base = np.log10((count + 0.5) / (v.tokens + 0.5 * (v.size + 1)))
-        p_low = self._low_of(number)
-        # contexts: the distinct tokens, and BEGIN behind them
-        total, back = self._contexts(number)
-        slot = np.where(before < 0, len(number), before)
-        p = p_low[at]
-        known = (total[slot] > 0) & (number[at] >= 0)
-        context = np.append(number, v.size)[slot[known]]
-        key, where = np.unique(context.astype(np.uint64) << _U(32) | number[at[known]].astype(np.uint64), return_inverse=True)
-        # the salt of a context follows from its count
-        salt_of = 1 + np.append(count, v.texts)[slot[known]] // HOT
-        salt = np.empty(len(key), np.int64)
-        salt[where] = salt_of
-        c = self.times(key, salt)[where]
-        high = np.zeros(len(at))
-        high[known] = c - np.array([0.0, *m.discounts])[np.minimum(c, 3)]
-        seen = total[slot] > 0
-        t = np.where(seen, total[slot], 1)
-        p = np.where(seen, (high + back[slot] * p) / t, p)
+        number, n = np.append(number, v.size), len(number) + 1
+        total, n1, n2, n3, cont = v.by_number(self.arrays, "low", ["total", "n1", "n2", "n3", "cont"], number)
+        p = self.low(cont[:-1])[at]
+
+        # pairs: a pair, one place on, is the context of a trigram
+        (a, b), pair = _distinct([before, at], n, return_inverse=True)
+        known = np.flatnonzero((number[a] >= 0) & (number[b] >= 0))
+        salt = (1 + np.append(count, v.texts) // v.hot)[b[known]]
+        key, part, *found = self.pairs(number[a[known]], number[b[known]], salt)
+        place = np.full(len(a), -1, np.int64)
+        place[known] = np.arange(len(known))
+        pair = place[pair]
+        pick = lambda column, i: np.where(i >= 0, column[np.maximum(i, 0)], 0) if len(column) else np.zeros(len(i), np.int64)
+        d = m.discounts[1]
+        t = total[before]
+        back = d[0] * n1[before] + d[1] * n2[before] + d[2] * n3[before]
+        p = np.where(t > 0, (_less(d, pick(found[0], pair)) + back * p) / np.maximum(t, 1), p)
+
+        # trigrams: of all tokens but the first of each text
+        context = np.empty(len(at), np.int64)
+        context[1:] = pair[:-1]
+        context[firsts] = -1
+        d = m.discounts[0]
+        t, k1, k2, k3 = (pick(c, context) for c in found[1:])
+        asked = np.flatnonzero((t > 0) & (number[at] >= 0))
+        c = np.zeros(len(at), np.int64)
+        if len(asked):
+            (x, w), where = _distinct([context[asked], at[asked]], max(n, len(key)), return_inverse=True)
+            c[asked] = self.times(triple_key(key[x], number[w]), part[x])[where]
+        p = np.where(t > 0, (_less(d, c) + (d[0] * k1 + d[1] * k2 + d[2] * k3) * p) / np.maximum(t, 1), p)
         per = lambda x: np.add.reduceat(x, firsts)
         return np.diff(np.append(firsts, len(tokens))), per((count[at] > 0).astype(np.int64)), per(base[at]), per(np.log10(p))
 
-    def _low_of(self, number: np.ndarray) -> np.ndarray:
-        order = np.argsort(number, kind="stable")
-        cont = np.empty(len(number), np.int64)
-        cont[order] = self.m.vocabulary.by_number(self.arrays, "cont", number[order], np.int64)
-        return self.low(cont)
-
-    def _contexts(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Totals, and discounted mass, of the words as contexts; BEGIN's last."""
-        v, m = self.m.vocabulary, self.m
-        order = np.argsort(number, kind="stable")
-        got = []
-        for name in ("total", "n1", "n2", "n3"):
-            a = np.empty(len(number), np.int64)
-            a[order] = v.by_number(self.arrays, name, number[order], np.int64)
-            begin = self.arrays.get(name, v.parts, np.int64)
-            got.append(np.append(a, begin[0] if len(begin) else 0))
-        return got[0], sum(d * n for d, n in zip(m.discounts, got[1:]))
-
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, with n_tokens, n_known, train_tokens,
     base_score and score, log10 probabilities.  Null texts are empty: one token,
-    the end.  Repeated rows repeat; columns named like the new ones are replaced."""
+    the end.  Repeated rows repeat; an empty table gives an empty one; columns named
+    like the new ones are replaced."""
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     names = [c for c in docs.columns if c != text and c not in new]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]) + ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -492,6 +645,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op2(docs: DataFrame) -> DataFrame:
+    """The contract's columns and the perplexity, one row per document: null texts
+    are empty (one token, the end), null ids of the fold of the empty text."""
     rows = docs.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "text")
     model = train(rows.filter("NOT held_out").select("text"))
     return score(rows, model).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
