@@ -17,9 +17,12 @@ Scoring.  A task maps the arrays into memory; look-ups are sorted searches of a
 few million bytes of text at a time.  Nothing but totals and a row a part reaches
 the driver; nothing is broadcast.  Parts are as many as the input's size asks for.
 
-Words, pairs and trigrams are told apart by 64-bit hashes: of n distinct ones, some
-two count as one with a chance of about n * n / 3.7e19 (for words as they come; the
-word hash is no secret, so words can be made that collide).
+Words are told apart by 64-bit hashes: of n distinct ones, some two count as one
+with a chance of about n * n / 3.7e19 (for words as they come; the hash is no
+secret, so words can be made that collide).  Pairs and trigrams are counted exactly
+by their words' numbers, but found in the arrays by their part and 40 bits and more
+of a hash: of the about 500,000 of a part, some two have the same with a chance of
+about 2e-6.
 """
 
 from __future__ import annotations
@@ -235,6 +238,16 @@ def small(name: str, a: np.ndarray) -> dict[str, np.ndarray]:
     return {name: np.minimum(a, 255).astype(np.uint8), f"{name}.at": large.astype(np.int64), f"{name}.more": a[large].astype(np.int64)}
 
 
+def hashed(name: str, keys: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted 64-bit keys, in buckets of their first bits (about 4 to 8 a bucket): where
+    these begin, and the 40 bits that follow, in 5 bytes."""
+    b = min(24, (len(keys) // 4).bit_length() - 1) if len(keys) >= 4 else 0
+    first = (keys >> _U(64 - b)).astype(np.int64) if b else np.zeros(len(keys), np.int64)
+    rest = keys << _U(b) >> _U(24)
+    starts = np.searchsorted(first, np.arange((1 << b) + 1)).astype(np.uint32)
+    return {f"{name}.first": starts, f"{name}.low": (rest & _U(0xFFFFFFFF)).astype(np.uint32), f"{name}.high": (rest >> _U(32)).astype(np.uint8)}
+
+
 def put(folder: str, name: str, part: int, arrays: dict[str, np.ndarray]) -> None:
     """One file: a line that tells of the arrays, then the arrays."""
     told, at = {}, 0
@@ -272,6 +285,31 @@ class Arrays:
     def get(self, name: str, part: int, key: str, kind=np.int64) -> np.ndarray:
         return self.file(name, part).get(key, np.empty(0, kind))
 
+    def find(self, name: str, part: int, key: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of ``keys`` that ``hashed`` stored, their places): by halving, in the
+        buckets of all keys at once."""
+        got = self.file(name, part)
+        starts = got.get(f"{key}.first")
+        if starts is None or not starts[-1]:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        low, high = got[f"{key}.low"], got[f"{key}.high"]
+        b = (len(starts) - 1).bit_length() - 1
+        bucket = (keys >> _U(64 - b)).astype(np.int64) if b else np.zeros(len(keys), np.int64)
+        rest = keys << _U(b) >> _U(24)
+        at = starts[bucket].astype(np.int64)
+        end = starts[bucket + 1].astype(np.int64)
+        last, rows = end.copy(), np.flatnonzero(at < end)
+        told = lambda i: high[i].astype(np.uint64) << _U(32) | low[i]
+        while len(rows):
+            mid = (at[rows] + end[rows]) >> 1
+            less = told(mid) < rest[rows]
+            at[rows[less]] = mid[less] + 1
+            end[rows[~less]] = mid[~less]
+            rows = rows[at[rows] < end[rows]]
+        rows = np.flatnonzero(at < last)
+        rows = rows[told(at[rows]) == rest[rows]]
+        return rows, at[rows]
+
     def at(self, name: str, part: int, key: str, i: np.ndarray) -> np.ndarray:
         """Numbers that ``small`` stored, by place."""
         out = np.asarray(self.get(name, part, key)[i]).astype(np.int64)
@@ -472,10 +510,10 @@ def train(texts: DataFrame, parts: int | None = None, hot: int = HOT) -> Model:
         key = pair_key(left, mid)
         order = np.argsort(key[first], kind="stable")
         stats = {"total": add(counts), "n1": add(counts == 1), "n2": add(counts == 2), "n3": add(counts > 2)}
-        files = {"pair": key[first][order]} | {k: x for name, a in stats.items() for k, x in small(name, a[order]).items()}
+        files = hashed("pair", key[first][order]) | {k: x for name, a in stats.items() for k, x in small(name, a[order]).items()}
         triple = triple_key(key, right)
         order = np.argsort(triple, kind="stable")
-        put(folder, "triple", part, files | {"triple": triple[order]} | small("times", counts[order]))
+        put(folder, "triple", part, files | hashed("triple", triple[order]) | small("times", counts[order]))
         (w, m), n = summed([right, mid], np.ones(len(mid), np.uint64))
         w, m, n = np.concatenate((w, raw[0])), np.concatenate((m, np.full(len(raw[0]), begin, np.uint64))), np.concatenate((n, raw[1].astype(np.uint64)))
         order = np.lexsort((m, w))
@@ -492,14 +530,12 @@ def train(texts: DataFrame, parts: int | None = None, hot: int = HOT) -> Model:
             return pd.DataFrame({"to": [-3], "kind": ["often"], "blob": [pack([np.sum([unpack(b)[0].astype(np.int64) for b in p["blob"]], axis=0)], 0)]})
         (w, a), n = gathered(p["blob"])
         n = n.astype(np.int64)
-        known = Arrays(folder).get("triple", q, "pair", np.uint64)
-        key = pair_key(a, w)
-        i = np.searchsorted(known, key)
-        hit = np.asarray(known[np.minimum(i, max(0, len(known) - 1))]) == key if len(known) else np.zeros(len(key), bool)
-        beside = np.zeros(len(known), np.int64)
-        beside[i[hit]] = n[hit]
-        order = np.argsort(key[~hit], kind="stable")  # pairs that end texts are no contexts
-        put(folder, "pair", q, small("cont", beside) | {"rest": key[~hit][order]} | small("rest_cont", n[~hit][order]))
+        key, arrays = pair_key(a, w), Arrays(folder)
+        rows, i = arrays.find("triple", q, "pair", key)
+        beside, alone = np.zeros(len(arrays.get("triple", q, "n1")), np.int64), np.ones(len(key), bool)
+        beside[i], alone[rows] = n[rows], False
+        order = np.argsort(key[alone], kind="stable")  # pairs that end texts are no contexts
+        put(folder, "pair", q, small("cont", beside) | hashed("rest", key[alone][order]) | small("rest_cont", n[alone][order]))
         out = []
 
         def send(kind: str, number: np.ndarray, columns: list[np.ndarray]) -> None:
@@ -566,23 +602,18 @@ class Scorer:
         out = np.zeros((5, len(key)), np.int64)
         for p, rows in by_part(part):
             for name, keys, columns in (("triple", "pair", (("pair", "cont"), ("triple", "total"), ("triple", "n1"), ("triple", "n2"), ("triple", "n3"))), ("pair", "rest", (("pair", "rest_cont"),))):
-                known = self.arrays.get(name, p, keys, np.uint64)
-                if len(known):
-                    i = np.minimum(np.searchsorted(known, key[rows]), len(known) - 1)
-                    hit = np.asarray(known[i]) == key[rows]
-                    for k, (file, column) in enumerate(columns):
-                        out[k, rows[hit]] = self.arrays.at(file, p, column, i[hit])
+                hit, i = self.arrays.find(name, p, keys, key[rows])
+                for k, (file, column) in enumerate(columns if len(hit) else ()):
+                    out[k, rows[hit]] = self.arrays.at(file, p, column, i)
         return key, part, *out
 
     def times(self, key: np.ndarray, part: np.ndarray) -> np.ndarray:
         """Counts of trigrams."""
         out = np.zeros(len(key), np.int64)
         for p, rows in by_part(part):
-            known = self.arrays.get("triple", p, "triple", np.uint64)
-            if len(known):
-                i = np.minimum(np.searchsorted(known, key[rows]), len(known) - 1)
-                hit = np.asarray(known[i]) == key[rows]
-                out[rows[hit]] = self.arrays.at("triple", p, "times", i[hit])
+            hit, i = self.arrays.find("triple", p, "triple", key[rows])
+            if len(hit):
+                out[rows[hit]] = self.arrays.at("triple", p, "times", i)
         return out
 
     def score(self, tokens: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
