@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from codeseam.llm.shared import fold, shared_path, shuffle_width, write_atomic
 
 CHUNK = 2 << 20  # bytes of text worked on at once
-HELD = 3 << 20  # partial counts a task holds before it merges or sends them
+HELD = 2 << 20  # partial counts a task holds before it merges or sends them
 HOT = 1 << 22  # occurrences of a word from which trigrams around it are salted
 PART_BYTES = 4 << 20  # of input for each part
 OPEN = 4096  # files that a worker keeps mapped
