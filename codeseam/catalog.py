@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeseam.functions import text as T
-from codeseam.operators import cluster, deps, extract, graph, index, matches, names, refs, search, similarity
+from codeseam.operators import cluster, deps, extract, graph, index, matches, names, pages, refs, search, similarity
 from codeseam.plans import querylang as ql
-from codeseam.sources.files import as_documents
+from codeseam.sources.files import as_documents, event_stream, working_tree
+from codeseam.sources import sinks
+from codeseam.sources.folders import fresh, mounted
 from codeseam.streaming import events as ev
+from codeseam.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,6 +38,19 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return as_documents(table(spark, sf, "documents"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def indexed(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The index of the documents, written once a session."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _INDEXES:
+        path, d = fresh(spark, "index"), docs(spark, sf)
+        index.write_index(d, extract.symbols(d, _SYM), path)
+        _INDEXES[key] = path
+    return index.open_index(spark, _INDEXES[key])
+
+
 FILES = ["repo", "doc_id", "path"]
 D = "(SELECT source AS repo, doc_id, source || '/' || CAST(doc_id AS VARCHAR) AS path, coalesce(lang, '') AS lang, text AS content FROM documents) d"
 
@@ -56,7 +70,7 @@ def _search(name: str, line: str, where: str, mode: str = "substring") -> None:
 # search: literals, regexes, paths, filters
 _search("search_literal_ci", "Example", "contains(lower(content), 'example') OR contains(lower(path), 'example')")
 _search("search_literal_cs", "case:yes The", "contains(content, 'The') OR contains(path, 'The')")
-_search("search_literal_rare", "content:only akia", "contains(lower(content), 'akia')")
+_search("search_literal_rare", "content:only TOKEN", "contains(lower(content), 'token')")
 _search("search_literal_absent", "content:only zzqqxx", "contains(lower(content), 'zzqqxx')")
 _search("search_phrase", '"and the"', "contains(lower(content), 'and the') OR contains(lower(path), 'and the')")
 _search("search_regex_ci", "re:yes content:only th[aeiou]n+d", "regexp_matches(content, 'th[aeiou]n+d', 'i')")
@@ -69,23 +83,37 @@ _search("search_union", "src1/2", "contains(lower(content), 'src1/2') OR contain
 _search("search_filter_lang", "lang:en lang:DE content:only the", "lang IN ('en', 'de') AND contains(lower(content), 'the')")
 _search("search_filter_repo_exact", "repo:src3 repo:src4 content:only a", "repo IN ('src3', 'src4') AND contains(lower(content), 'a')")
 _search("search_filter_repo_regex", "repo:^src1[0-4]+ content:only the", "regexp_matches(repo, '^src1[0-4]+') AND contains(lower(content), 'the')")
-_search("search_filter_file_glob", "file:src2/7 content:only a", "lower(path) = 'src2/7' AND contains(lower(content), 'a')")
+_search("search_filter_file_glob", "file:SRC2/2 content:only a", "lower(path) = 'src2/2' AND contains(lower(content), 'a')")
+_search("search_regex_unicode", r"re:yes case:yes content:only \p{Lu}\p{Ll}+[äöüß]\p{Ll}", r"regexp_matches(content, '\p{Lu}\p{Ll}+[äöüß]\p{Ll}', 'c')")
+_search("search_regex_named_groups", r"re:yes content:only (?P<a>[0-9]{3})-(?P<b>[0-9]{4})", r"regexp_matches(content, '[0-9]{3}-[0-9]{4}')")
+_search("search_regex_posix", r"re:yes content:only [[:digit:]]+[[:punct:]][[:digit:]]+", r"regexp_matches(content, '[[:digit:]]+[[:punct:]][[:digit:]]+')")
+_search("search_regex_not_of_the_dialect", "re:yes content:only a{,3}", "false")
 _search("search_filter_file_glob_star", "file:*/1? content:only a", "regexp_matches(path, '^.*/1.$') AND contains(lower(content), 'a')")
 _search("search_filter_file_regex", "file:/1[0-9]+ file:^src[0-5]/ content:only a", "regexp_matches(path, '/1[0-9]+') AND regexp_matches(path, '^src[0-5]/') AND contains(lower(content), 'a')")
-_search("search_filter_branch", "branch:main content:only about", "contains(lower(content), 'about')")
-_search("search_filter_branch_none", "branch:dev content:only about", "false")
+_search("search_filter_branch", "branch:main content:only the", "contains(lower(content), 'the')")
+_search("search_filter_branch_none", "branch:dev content:only the", "false")
 _search("search_filters_only", "lang:fr repo:src1", "lang = 'fr' AND repo = 'src1'")
-_search(
-    "search_literal_term_first", "content:only hand",
-    "CASE WHEN (SELECT bool_or(regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])hand([^\\p{L}\\p{N}_]|$)')) FROM documents) THEN regexp_matches(lower(content), '(^|[^\\p{L}\\p{N}_])hand([^\\p{L}\\p{N}_]|$)') ELSE contains(lower(content), 'hand') END",
-    "term_first",
-)
+
+
+_WORD = "(^|[^\\p{L}\\p{N}_])hand([^\\p{L}\\p{N}_]|$)"
+
+
+@query(_files(f"CASE WHEN (SELECT bool_or(regexp_matches(lower(text), '{_WORD}')) FROM documents) THEN regexp_matches(lower(content), '{_WORD}') ELSE contains(lower(content), 'hand') END"))
+def search_literal_term_first(spark, sf):
+    return index.search_index(indexed(spark, sf), "content:only hand").select(*FILES)
+
+
+@query(SQL["search_literal_term_first"])
+def search_term_first_scan(spark, sf):
+    return search.search(docs(spark, sf), "content:only hand").select(*FILES)
+
+
 _search("search_term_first_falls_back", "content:only xample.co", "contains(lower(content), 'xample.co')", "term_first")
 
 _AND = ql.And(ql.Literal("the"), ql.Literal("und"))
 _BOOLEAN = {
     "search_bool_and": (_AND, "contains(lower(content), 'the') AND contains(lower(content), 'und')"),
-    "search_bool_or": (ql.Or(ql.Literal("password"), ql.Literal("AKIA", True)), "contains(lower(content), 'password') OR contains(content, 'AKIA')"),
+    "search_bool_or": (ql.Or(ql.Literal("token"), ql.Literal("Wa", True)), "contains(lower(content), 'token') OR contains(content, 'Wa')"),
     "search_bool_not": (ql.Not(ql.Literal("the")), "NOT contains(lower(content), 'the')"),
     "search_bool_nested": (ql.And(ql.Or(ql.Regex("[0-9]{4}"), _AND), ql.Not(ql.Not(ql.Literal("de")))), "(regexp_matches(content, '[0-9]{4}') OR (contains(lower(content), 'the') AND contains(lower(content), 'und'))) AND contains(lower(content), 'de')"),
     "search_bool_and_absent": (ql.And(ql.Literal("the"), ql.Literal("zzqqxx")), "false"),
@@ -104,9 +132,9 @@ for _n, (_q, _w) in _BOOLEAN.items():
     _boolean(_n, _q, _w)
 
 
-@query(f"SELECT DISTINCT repo FROM {D} WHERE contains(lower(content), 'password')")
+@query(f"SELECT DISTINCT repo FROM {D} WHERE contains(lower(content), '555-1')")
 def search_select_repo(spark, sf):
-    return search.search(docs(spark, sf), "select:repo content:only password", mode="substring").select("repo")
+    return search.search(docs(spark, sf), "select:repo content:only 555-1", mode="substring").select("repo")
 
 
 _SYM = r"([A-Z][a-z]+ing)"
@@ -120,6 +148,18 @@ def search_select_symbol(spark, sf):
     return search.search(d, "select:symbol content:only wh", extract.symbols(d, _SYM), mode="substring").select("repo", "doc_id", "symbol")
 
 
+@query(SQL["search_select_symbol"])
+def indexed_select_symbol(spark, sf):
+    return index.search_index(indexed(spark, sf), "select:symbol content:only wh", mode="substring").select("repo", "doc_id", "symbol")
+
+
+@query(f"SELECT node_id, repo, path FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS node_id, repo, path FROM {D} WHERE contains(lower(content), 'the') AND regexp_matches(path, 'src1') AND NOT regexp_matches(path, '7$')) ORDER BY repo, path LIMIT 20 OFFSET 3")
+def search_distributed(spark, sf):
+    d = docs(spark, sf)
+    nodes = {"even": d.filter("doc_id % 2 = 0"), "odd": d.filter("doc_id % 2 = 1")}
+    return search.distributed(nodes, "content:only the", ("src1",), ("7$",), 3, 20).select("node_id", "repo", "path")
+
+
 _REPOS = [("src0", "public", None), ("src1", "private", None), ("src2", "restricted", ["ann", "bob"]), ("src3", "restricted", ["eve"]), ("src4", "secret", None)]
 
 
@@ -142,10 +182,10 @@ def search_page(spark, sf):
     return search.page(found.select(*FILES), ["repo", "doc_id"], 5, 10).select(*FILES)
 
 
-@query(f"SELECT DISTINCT repo, path FROM {D} WHERE contains(lower(content), 'the') OR contains(lower(content), 'password')")
+@query(f"SELECT DISTINCT repo, path FROM {D} WHERE contains(lower(content), 'the') OR contains(lower(content), '555-1')")
 def search_merge_indexes(spark, sf):
     d = docs(spark, sf)
-    parts = [search.search(d, f"content:only {w}", mode="substring") for w in ("the", "password")]
+    parts = [search.search(d, f"content:only {w}", mode="substring") for w in ("the", "555-1")]
     return search.merge_results(parts, None).select("repo", "path")
 
 
@@ -156,39 +196,49 @@ _TRI = f"SELECT doc_id, substr(r, i, 3) AS tri FROM (SELECT doc_id, r, unnest(ra
 
 @query("SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS token FROM documents) WHERE token <> '' GROUP BY token")
 def terms_postings_count(spark, sf):
-    return index.document_frequency(index.terms(docs(spark, sf)), "token")
+    return index.document_frequency(indexed(spark, sf)["terms"], "token")
 
 
 @query(f"SELECT tri, count(DISTINCT doc_id) AS df FROM ({_TRI}) GROUP BY tri")
 def trigram_df(spark, sf):
-    return index.document_frequency(index.document_trigrams(docs(spark, sf)))
+    return index.document_frequency(indexed(spark, sf)["content_tri"])
 
 
-@query(f"SELECT tri, doc_id, count(*) AS n FROM ({_TRI}) WHERE tri LIKE 'pa%' GROUP BY tri, doc_id")
+@query(f"SELECT tri, doc_id, count(*) AS n FROM ({_TRI}) GROUP BY tri, doc_id")
 def trigram_postings(spark, sf):
-    return index.content_trigrams(docs(spark, sf)).filter(F.col("tri").startswith("pa")).select("tri", "doc_id", F.size("positions").cast("long").alias("n"))
+    return index.content_trigrams(docs(spark, sf)).select("tri", "doc_id", F.size("positions").cast("long").alias("n"))
 
 
-@query(f"SELECT tri, doc_id, count(*) AS n FROM ({_TRI}) GROUP BY tri, doc_id")
-def trigram_postings_all(spark, sf):
-    return index.content_trigrams(docs(spark, sf)).select("tri", "doc_id", F.size("positions").cast("long").alias("n"))
+_POSTED = """SELECT doc_id, unnest(range(1, len(p))) AS k, p FROM (SELECT doc_id, string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '555') AS p FROM documents WHERE contains(text, '555') AND NOT contains(text, '5555'))"""
 
 
-@query(f"SELECT doc_id FROM ({_TRI}) WHERE tri IN ('pas', 'wor', 'ord') GROUP BY doc_id HAVING count(DISTINCT tri) = 3")
+@query(f"SELECT doc_id, CAST(strlen(array_to_string(p[1:k], '555')) AS INTEGER) AS byte FROM ({_POSTED})")
+def trigram_positions(spark, sf):
+    one = docs(spark, sf).filter("NOT contains(content, '5555')")
+    return index.content_trigrams(one).filter("tri = '555'").select("doc_id", F.explode("positions").alias("byte"))
+
+
+@query(f"SELECT doc_id FROM ({_TRI}) WHERE tri IN ('555', 'the', 'and') GROUP BY doc_id HAVING count(DISTINCT tri) = 3")
 def trigram_candidates(spark, sf):
-    return index.candidates(index.document_trigrams(docs(spark, sf)), [frozenset({"pas", "wor", "ord"})]).select("doc_id")
+    return index.candidates(indexed(spark, sf)["content_tri"], [frozenset({"555", "the", "and"})]).select("doc_id")
+
+
+_PHONE = r"555-(1[0-9]{3}|2[0-9]{3})"
 
 
-@query(_files("regexp_matches(content, '(token|password) ?=', 'i')"))
+@query(_files(f"regexp_matches(content, '{_PHONE}', 'i')"))
 def prefilter_equals_scan(spark, sf):
-    d = docs(spark, sf)
-    return index.indexed_regex(d, index.document_trigrams(d), "(token|password) ?=").select(*FILES)
+    return index.search_index(indexed(spark, sf), f"re:yes content:only {_PHONE}").select(*FILES)
 
 
-@query(_files("contains(lower(content), 'password')"))
+@query(_files("contains(lower(content), 'token')"))
 def indexed_literal(spark, sf):
-    d = docs(spark, sf)
-    return index.indexed_literal(d, index.document_trigrams(d), "password").select(*FILES)
+    return index.search_index(indexed(spark, sf), "content:only token", "substring").select(*FILES)
+
+
+@query(_files("(contains(lower(content), 'wand') OR contains(lower(path), 'wand')) AND regexp_matches(repo, 'src1[0-9]') AND lang IN ('de', 'en')"))
+def indexed_filters(spark, sf):
+    return index.search_index(indexed(spark, sf), "repo:^src1[0-9] lang:de lang:en wand", "substring").select(*FILES)
 
 
 @query("SELECT count(*) AS n_docs, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS n_bytes FROM documents")
@@ -203,28 +253,30 @@ def index_status(spark, sf):
 
 
 # hits within documents
-@query("SELECT doc_id, CAST(i AS INTEGER) AS line, l AS line_text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE contains(l, 'password=')")
+_HITS = """SELECT doc_id, k, array_to_string(p[1:k], '555-') AS before, array_to_string(p[k + 1:], '555-') AS after
+FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS k FROM (SELECT doc_id, string_split(text, '555-') AS p FROM documents WHERE contains(text, '555-')))"""
+
+
+@query(f"SELECT doc_id, CAST(strlen(before) AS INTEGER) AS start_byte, CAST(len(string_split(before, chr(10))) AS INTEGER) AS line, string_split(before, chr(10))[-1] || '555-' || split_part(after, chr(10), 1) AS line_text FROM ({_HITS})")
 def match_lines(spark, sf):
-    return matches.matches(docs(spark, sf), "password=").select("doc_id", "line", "line_text").dropDuplicates()
+    return matches.matches(docs(spark, sf), "555-").select("doc_id", "start_byte", "line", "line_text")
 
 
-@query("SELECT doc_id, CAST(strlen(split_part(text, 'AKIA', 1)) AS INTEGER) AS start_byte FROM documents WHERE contains(text, 'AKIA')")
+@query(f"SELECT doc_id, CAST(strlen(before) AS INTEGER) AS start_byte, CAST(strlen(before) + 4 AS INTEGER) AS end_byte FROM ({_HITS})")
 def match_offsets_bytes(spark, sf):
-    return matches.matches(docs(spark, sf), "AKIA").groupBy("doc_id").agg(F.min("start_byte").alias("start_byte"))
+    return matches.matches(docs(spark, sf), "555-", text=False).select("doc_id", "start_byte", "end_byte")
 
 
-@query("""
-WITH h AS (SELECT doc_id, split_part(string_split(text, 'AKIA')[1], chr(10), -1) AS b, split_part(text[length(string_split(text, 'AKIA')[1]) + 5:], chr(10), 1) AS a FROM documents WHERE contains(text, 'AKIA'))
+@query(f"""
+WITH h AS (SELECT doc_id, k, string_split(before, chr(10))[-1] AS b, split_part(after, chr(10), 1) AS a FROM ({_HITS}))
 SELECT doc_id, CASE WHEN length(b) <= 10 THEN b ELSE '…' || right(b, 10) END AS before, CASE WHEN length(a) <= 10 THEN a ELSE left(a, 10) || '…' END AS after FROM h""")
 def snippet_context(spark, sf):
-    m = matches.matches(docs(spark, sf), "AKIA", context=10)
-    w = Window.partitionBy("doc_id").orderBy("start_byte")
-    return m.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("doc_id", "before", "after")
+    return matches.matches(docs(spark, sf), "555-", context=10).select("doc_id", "before", "after")
 
 
 @query("SELECT source AS repo, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '[0-9]+')) AS m FROM documents) GROUP BY 1")
 def match_count_per_repo(spark, sf):
-    return matches.matches(docs(spark, sf), "[0-9]+", regex=True).groupBy("repo").agg(F.count("*").alias("n"))
+    return matches.matches(docs(spark, sf), "[0-9]+", regex=True, text=False).groupBy("repo").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents")
@@ -232,17 +284,20 @@ def document_lines(spark, sf):
     return matches.lines(docs(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
-@query()
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE contains(lower(text), '555-')),
+s AS (SELECT *, contains(lower(t), '555-') AS hit, bool_or(contains(lower(t), '555-')) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM l),
+g AS (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM s WHERE near)
+SELECT doc_id, string_agg(CASE WHEN prev < i - 1 THEN '...' || chr(10) ELSE '' END || lpad(CAST(i AS VARCHAR), 6, ' ') || CASE WHEN hit THEN ' > ' ELSE '   ' END || t || chr(10), '' ORDER BY i) AS snippet FROM g GROUP BY doc_id""")
 def snippet_blocks(spark, sf):
-    return matches.snippets(docs(spark, sf), "stupid trash the", 1)
+    return matches.snippets(docs(spark, sf), "555-", 1).select("doc_id", "snippet")
 
 
-@query("""
-SELECT doc_id, regexp_extract_all(split_part(text, 'the', 1), '[A-Z]{2,}')[-1] AS symbol FROM documents WHERE contains(text, 'the')""")
+@query(f"SELECT doc_id, CAST(strlen(before) AS INTEGER) AS start_byte, regexp_extract_all(before, '[A-Z]{{2,}}')[-1] AS symbol FROM ({_HITS})")
 def nearest_symbol(spark, sf):
     d = docs(spark, sf)
-    m = matches.matches(d, "the").groupBy("repo", "doc_id").agg(F.min("start_byte").alias("start_byte"))
-    return matches.nearest_symbol(m, extract.symbols(d, r"([A-Z]{2,})")).select("doc_id", "symbol")
+    m = matches.matches(d, "555-", text=False)
+    return matches.nearest_symbol(m, extract.symbols(d, r"([A-Z]{2,})")).select("doc_id", "start_byte", "symbol")
 
 
 # graph
@@ -275,6 +330,12 @@ def graph_neighbors(spark, sf):
     return graph.neighbours(edges(spark, sf), "S:1", 20)
 
 
+@query("SELECT 'callees' AS relation, 'P:' || l_partkey AS stable_id, p_name AS name FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey = 1) JOIN part ON p_partkey = l_partkey UNION ALL SELECT 'callers', 'P:' || l_partkey, p_name FROM (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING min(l_suppkey) = 1) JOIN part ON p_partkey = l_partkey")
+def entity_graph(spark, sf):
+    e = table(spark, sf, "part").select(F.concat(F.lit("P:"), F.col("p_partkey").cast("string")).alias("stable_id"), F.col("p_name").alias("name"))
+    return graph.entity_graph(edges(spark, sf), e, "S:1", 1 << 30)
+
+
 def _bfs(forward: bool) -> str:
     a, b = ("src", "dst") if forward else ("dst", "src")
     return f"""WITH RECURSIVE e AS (SELECT {a} AS x, {b} AS y FROM ({_EDGES}) WHERE kind = 'call'), r AS (
@@ -356,6 +417,18 @@ def entity_listing(spark, sf):
     return names.listing(parts(spark, sf), "Brand#11").select("stable_id", "position")
 
 
+@query(f"SELECT stable_id, score, CAST(row_number() OVER (ORDER BY score DESC, stable_id) AS INTEGER) AS position FROM (SELECT p_partkey AS stable_id, CAST(p_size AS DOUBLE) AS score FROM part WHERE p_brand = 'Brand#11')")
+def hydrated_ranks(spark, sf):
+    p = parts(spark, sf)
+    ranked = p.filter("repo = 'Brand#11'").select("stable_id", F.col("start_line").cast("double").alias("score"))
+    return pages.hydrated(ranked, p).select("stable_id", "score", "position")
+
+
+@query("SELECT count(*) AS n FROM part WHERE p_brand = 'Brand#11' AND p_size <> 1")
+def counted_entities(spark, sf):
+    return pages.counted(parts(spark, sf), repo="Brand#11", kind="function")
+
+
 @query("SELECT coalesce(source, 'unknown') AS repo, count(*) AS entity_count, count(DISTINCT doc_id) AS file_count, array_to_string(list_sort(list(DISTINCT lang)), ',') AS languages FROM documents GROUP BY 1")
 def repo_summaries(spark, sf):
     d = table(spark, sf, "documents").select(F.col("source").alias("repo"), F.col("doc_id").alias("path"), "lang")
@@ -414,6 +487,20 @@ def dupes_page(spark, sf):
     return similarity.duplicate_pairs(e, snapshots(spark, sf), "2", limit=5, offset=5)
 
 
+@query(f"WITH e AS ({_similar_sql('=', 10, 0.3)}), f AS (SELECT CASE WHEN src = 1 THEN dst ELSE src END AS stable_id, score FROM e WHERE src = 1 OR dst = 1) SELECT stable_id, score FROM f ORDER BY score DESC, stable_id LIMIT 10")
+def similar_to_entity(spark, sf):
+    s = snapshots(spark, sf)
+    e = _sim(spark, sf, "same").withColumn("score", F.round("score", 6))
+    return similarity.similar_of(e, s.withColumn("name", F.col("repo")), 1).select("stable_id", "score")
+
+
+@query(f"SELECT stable_id, distance FROM (SELECT b.vec_id AS stable_id, round(1 - {_COS}, 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id = 1 AND b.label = 2)")
+def members_by_distance(spark, sf):
+    s = snapshots(spark, sf)
+    centre = list(s.filter("stable_id = 1").first().embedding)
+    return cluster.members_by_distance(s.filter("repo = '2'"), centre).select("stable_id", F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT sha256(text) AS content_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_dup_content(spark, sf):
     return docs(spark, sf).groupBy(T.content_id(F.col("content")).alias("content_id")).agg(F.count("*").alias("n")).filter("n > 1")
@@ -434,10 +521,11 @@ def chunk_windows(spark, sf):
     return c.select(F.col("stable_id").alias("doc_id"), "chunk", F.size("words").alias("n_words"), F.get("words", F.lit(0)).alias("first_word"))
 
 
-@query("SELECT label AS stable_id, CAST(i AS INTEGER) AS i, round(avg(CAST(embedding[i + 1] AS DOUBLE)), 6) AS x FROM embeddings, range(0, 64) t(i) GROUP BY 1, 2")
+@query("""WITH e AS (SELECT label, vec_id, CASE WHEN vec_id % 7 <> 3 THEN CAST(embedding AS DOUBLE[]) END AS v FROM embeddings), u AS (SELECT label, count(v) AS n_used, count(*) AS n FROM e GROUP BY 1)
+SELECT label AS stable_id, CAST(i AS INTEGER) AS i, round(avg(v[i + 1]), 6) AS x, any_value(n_used) AS n_used, bool_or(n_used < n) AS partial FROM e JOIN u USING (label), range(0, 64) t(i) WHERE v IS NOT NULL GROUP BY 1, 2""")
 def chunk_mean(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("label").alias("stable_id"), F.col("vec_id").alias("chunk"), "embedding")
-    return similarity.chunk_mean(e).select("stable_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
+    e = table(spark, sf, "embeddings").select(F.col("label").alias("stable_id"), F.col("vec_id").alias("chunk"), F.when(F.col("vec_id") % 7 != 3, F.col("embedding")).alias("embedding"))
+    return similarity.chunk_mean(e).select("stable_id", F.posexplode("embedding").alias("i", "x"), "n_used", "partial").withColumn("x", F.round("x", 6))
 
 
 def _kmeans_sql(k: int = 4, rounds: int = 3) -> str:
@@ -456,10 +544,11 @@ def kmeans_assign(spark, sf):
     return cluster.kmeans(snapshots(spark, sf), 4, 3)
 
 
-@query("SELECT CAST(label AS INTEGER) AS cluster, count(*) AS n_members FROM embeddings GROUP BY 1")
-def cluster_sizes(spark, sf):
+@query("""WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1), c AS (SELECT label, count(*) AS n_members FROM embeddings GROUP BY 1)
+SELECT CAST(m.label AS INTEGER) AS cluster, n_members, CAST(i - 1 AS INTEGER) AS i, round(x / n, 6) AS x FROM m JOIN n USING (label) JOIN c USING (label)""")
+def cluster_centroids(spark, sf):
     s = snapshots(spark, sf).withColumn("cluster", F.col("repo").cast("int"))
-    return cluster.centroids(s).select("cluster", "n_members")
+    return cluster.centroids(s).select("cluster", "n_members", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 @query()
@@ -563,7 +652,7 @@ def import_modules(spark, sf):
 _SOURCES = [("r", "pkg/util.py", "def helper():\n    return 1\n\nclass Tool:\n    def run(self):\n        return self.step()\n    def step(self):\n        return helper()\n"), ("r", "main.py", "from pkg.util import helper as h\nimport pkg.util\n\ndef go():\n    h()\n    pkg.util.Tool().run()\n")]
 
 
-@query("""SELECT * FROM (VALUES ('call', 'run', 'step'), ('call', 'step', 'helper'), ('call', 'go', 'helper'), ('call', 'go', 'run'), ('call', 'go', 'Tool'), ('containment', 'Tool', 'run'), ('containment', 'Tool', 'step'), ('import', 'main.py', 'pkg/util.py')) t(kind, src, dst)""")
+@query("""SELECT * FROM (VALUES ('call', 'run', 'step'), ('call', 'step', 'helper'), ('call', 'go', 'helper'), ('call', 'go', 'run'), ('call', 'go', 'Tool'), ('containment', 'Tool', 'run'), ('containment', 'Tool', 'step'), ('import', 'main.py', 'util.py')) t(kind, src, dst)""")
 def call_resolution(spark, sf):
     e, x = extract.code_graph(spark.createDataFrame(_SOURCES, "repo string, path string, content string"))
     n = e.select("id", "name")
@@ -592,10 +681,27 @@ def events_last_state(spark, sf):
     return ev.last_state(events(spark, sf), ["user_id"], ["event_type", "value"])
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("SELECT DISTINCT user_id AS repo, event_type AS branch FROM events e WHERE NOT EXISTS (SELECT 1 FROM events l WHERE l.user_id = e.user_id AND l.event_type = e.event_type AND l.ts + INTERVAL 7 DAY > TIMESTAMP '2024-02-03')")
 def events_unleased(spark, sf):
-    e = events(spark, sf)
-    return e.select("user_id").distinct().join(e.filter("event_type = 'purchase'"), "user_id", "left_anti")
+    e = events(spark, sf).select(F.col("user_id").alias("repo"), F.col("event_type").alias("branch"), (F.col("ts") + F.expr("INTERVAL 7 DAYS")).alias("until"))
+    return refs.unleased(e.select("repo", "branch").distinct(), e, F.lit("2024-02-03").cast("timestamp"))
+
+
+@query("SELECT user_id AS node_id, max(ts) >= TIMESTAMP '2024-01-30 00:00:00' AS healthy FROM events GROUP BY 1")
+def events_healthy(spark, sf):
+    return ev.healthy(events(spark, sf).select(F.col("user_id").alias("node_id"), "ts"), "2024-01-31", 86_400)
+
+
+@query("""SELECT event_id FROM (SELECT event_id, user_id % 3 AS sha, lag(user_id % 3) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS old FROM events) WHERE old IS NULL OR old <> sha""")
+def events_changed_commits(spark, sf):
+    e = events(spark, sf).select("event_id", "ts", F.col("event_type").alias("repo_name"), F.lit("main").alias("branch"), (F.col("user_id") % 3).cast("string").alias("last_commit_sha"))
+    return ev.changed_commits(e).select("event_id")
+
+
+@query("""SELECT user_id, min(ts) AS first, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR >= ts THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+def events_sessions(spark, sf):
+    e = ev.sessions(events(spark, sf), "user_id", "6 hours")
+    return e.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("first"), "n")
 
 
 @query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
@@ -611,14 +717,87 @@ def events_windows(spark, sf):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_ingest_counts(spark, sf):
-    """The table as a stream, to a file sink, with a checkpoint; read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codeseam-stream-")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")  # a file or a folder
-    q = stream.select("event_type", "event_id").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").groupBy("event_type").agg(F.count("*").alias("n"))
+    """The table published to a queue, ingested by a stream that routes it by type,
+    with a checkpoint, into a table."""
+    root = fresh(spark, "stream")
+    e = events(spark, sf).select("event_type", F.col("user_id").cast("string").alias("repo_name"), F.unix_millis("ts").alias("timestamp"), F.col("event_id").cast("string").alias("last_commit_sha"))
+    jobs.publish(e, f"{root}/queue")
+
+    def keep(rows: DataFrame, epoch: int) -> None:
+        rows.select("event_type", "last_commit_sha").write.mode("append").parquet(f"{root}/rows")
+
+    kinds = ("view", "click", "signup", "purchase", "error")
+    ev.ingest(event_stream(spark, f"{root}/queue"), dict.fromkeys(kinds, keep), f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/rows").groupBy("event_type").agg(F.countDistinct("last_commit_sha").alias("n"))
+
+
+@query("SELECT event_type AS k, max(event_id) AS last, count(*) AS n FROM events GROUP BY 1")
+def stream_upserts(spark, sf):
+    """The table as a stream of upserts into a keyed table, read back."""
+    root = fresh(spark, "upserts")
+    e = events(spark, sf).groupBy(F.col("event_type").alias("k")).agg(F.max("event_id").alias("last"), F.count("*").alias("n"))
+    for part, rows in (("a", e.withColumn("last", F.lit(-1).cast("long"))), ("b", e)):
+        jobs.publish(rows, f"{root}/queue/{part}")
+        stream = spark.readStream.schema("k string, last long, n long").option("recursiveFileLookup", "true").json(f"{root}/queue")
+        jobs.writer(stream, f"{root}/table", ["k"], "last", f"{root}/checkpoint").awaitTermination()
+    return sinks.read_table(spark, f"{root}/table").select("k", "last", "n")
+
+
+# trees and code
+@query("SELECT source || '/' || doc_id || '.txt' AS path, strlen(text) AS size, text <> '' AS is_text, sha256(text) AS digest FROM documents WHERE strlen(text) <= 1000000")
+def tree_documents(spark, sf):
+    """The documents as files of a folder, walked and read."""
+    root = mounted(spark, "tree")
+
+    def write(parts):
+        import os
+
+        for p in parts:
+            for repo, i, text in zip(p["source"], p["doc_id"], p["text"]):
+                os.makedirs(f"{root}/{repo}", exist_ok=True)
+                with open(f"{root}/{repo}/{i}.txt", "w", encoding="utf-8", newline="") as f:
+                    f.write(text)
+            yield p[["doc_id"]]
+
+    table(spark, sf, "documents").select("source", "doc_id", "text").mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
+    return working_tree(spark, root).select("path", "size", "is_text", F.sha2("content", 256).alias("digest"))
+
+
+_CODE = {
+    "rs": ("concat('use crate::m', n, '::f', n, ' as g;\\n/// Calls.\\npub struct S', k, ';\\nimpl S', k, ' { pub fn m(&self) {} }\\nfn f', k, '() { g(); h', k, '(1); }\\nfn h', k, '(x: i32) {}\\n')"),
+    "go": ("concat('package p\\n\\ntype S', k, ' struct {\\n}\\n\\nfunc (s *S', k, ') M() {}\\n\\nfunc G', k, '() { p.G', n, '() }\\n')"),
+    "js": ("concat('import { j', n, ' as g } from \\'./n', n, '.js\\';\\nclass C', k, ' {\\n  m() { return 1; }\\n}\\nexport function j', k, '() { g(); }\\n')"),
+}
+
+
+def code(spark: SparkSession, sf: str) -> DataFrame:
+    """A Rust, a Go and a JavaScript file for each supplier; each calls the next one."""
+    t = table(spark, sf, "supplier")
+    count = t.count()
+    t = t.select(F.col("s_suppkey").cast("string").alias("k"), ((F.col("s_suppkey") + 1) % count).cast("string").alias("n"))
+    each = [t.select(F.lit("r").alias("repo"), F.concat(F.lit(f"src/{ext}/{base}"), "k", F.lit(f".{ext}")).alias("path"), F.expr(body).alias("content")) for (ext, body), base in zip(_CODE.items(), "mgn")]
+    return each[0].union(each[1]).union(each[2])
+
+
+_NEXT = "(SELECT CAST(s_suppkey AS VARCHAR) AS k, CAST((s_suppkey + 1) % (SELECT count(*) FROM supplier) AS VARCHAR) AS n FROM supplier)"
+
+
+@query(f"""SELECT path, e[1] AS kind, e[2] AS name, e[3] AS methods FROM (
+SELECT 'src/rs/m' || k || '.rs' AS path, unnest([['class', 'S' || k, 'm'], ['function', 'f' || k, ''], ['function', 'h' || k, '']]) AS e FROM {_NEXT}
+UNION ALL SELECT 'src/go/g' || k || '.go', unnest([['class', 'struct', 'M'], ['function', 'G' || k, '']]) FROM {_NEXT}
+UNION ALL SELECT 'src/js/n' || k || '.js', unnest([['class', 'C' || k, 'm'], ['function', 'j' || k, '']]) FROM {_NEXT})""")
+def code_entities(spark, sf):
+    e = extract.entities(code(spark, sf)).filter("kind <> 'file'")
+    return e.select("path", "kind", "name", F.array_join("methods.name", ",").alias("methods"))
+
+
+@query(f"""SELECT 'call' AS kind, 'f' || k AS a, 'f' || n AS b FROM {_NEXT} WHERE k <> n UNION ALL SELECT 'call', 'f' || k, 'h' || k FROM {_NEXT} UNION ALL SELECT 'call', 'G' || k, 'G' || n FROM {_NEXT} WHERE k <> n
+UNION ALL SELECT 'call', 'j' || k, 'j' || n FROM {_NEXT} WHERE k <> n UNION ALL SELECT 'import', 'n' || k || '.js', 'n' || n || '.js' FROM {_NEXT} WHERE k <> n UNION ALL SELECT 'import', 'm' || k || '.rs', 'm' || n || '.rs' FROM {_NEXT} WHERE k <> n""")
+def code_edges(spark, sf):
+    e, x = extract.code_graph(code(spark, sf))
+    n = e.select("id", "name")
+    out = x.join(n.select(F.col("id").alias("src"), F.col("name").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("name").alias("b")), "dst")
+    return out.select("kind", "a", "b")
 
 
 @query()

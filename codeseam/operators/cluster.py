@@ -48,7 +48,8 @@ def _moved(rows: DataFrame, centres: np.ndarray) -> np.ndarray:
                 np.add.at(total, at, m)
                 n += np.bincount(at, minlength=len(n))
         hit = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": hit.astype(np.int32), "n": n[hit], "total": list(total[hit])})
+        if len(hit):
+            yield pd.DataFrame({"cluster": hit.astype(np.int32), "n": n[hit], "total": list(total[hit])})
 
     def added(p: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"cluster": p["cluster"].iloc[:1], "mean": [np.sum(p["total"].to_list(), axis=0) / p["n"].sum()]})

@@ -50,7 +50,8 @@ def changed_commits(events: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("repo_name", "branch").orderBy("ts", "event_id")
-    return events.filter(~F.lag("last_commit_sha").over(w).eqNullSafe(F.col("last_commit_sha")) | F.lag("last_commit_sha").over(w).isNull())
+    old = events.withColumn("__old", F.lag("last_commit_sha").over(w))
+    return old.filter(F.col("__old").isNull() | ~F.col("__old").eqNullSafe(F.col("last_commit_sha"))).drop("__old")
 
 
 def lease_steps(state: tuple[str, float] | None, rows: list[tuple[float, str, str, float]]) -> tuple[tuple[str, float] | None, list[tuple]]:
