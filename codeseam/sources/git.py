@@ -47,11 +47,12 @@ def with_credentials(url: str, env: dict | None = None) -> str:
 
 def clone_error(said: str) -> CloneError:
     low = said.lower()
-    if any(x in low for x in ("authentication failed", "permission denied", "could not read")):
+    has = lambda *xs: any(x in low for x in xs)
+    if has("authentication failed", "permission denied", "could not read username", "could not read password"):
         return CloneDenied(said.strip())
-    if "not found" in low or "does not exist" in low or "404" in low:
+    if has("not found", "does not exist", "does not appear to be", "404"):
         return RepoNotFound(said.strip())
-    return CloneError(said.strip())
+    return CloneDenied(said.strip()) if has("fatal: could not read") else CloneError(said.strip())
 
 
 def _run(args: list[str]) -> subprocess.CompletedProcess:
