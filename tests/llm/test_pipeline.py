@@ -38,3 +38,27 @@ def test_stages(spark, make_docs):
             c = bpe.codec(*bpe.default_vocabulary())
             assert Counter(r["text"] for r in seen[name]) == Counter(r["text"] for r in seen["mixing"])
             assert all(r["ids"] == c.base.encode_ordinary(r["text"]) for r in seen[name])
+
+
+def test_stages_on_odd_tables(spark, make_docs, tmp_path):
+    """Nulls in any column, repeated rows, clashing columns and an empty table."""
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(None, None, None), (None, "one two three four", None), (1, "", "s"), (2, "mail a@b.example.com now please", "s"), (2, "mail a@b.example.com now please", "s"), (3, "word " * 3000, "t"), (4, None, "t")]
+    docs = make_docs(rows, extra=True)
+    df = docs
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        df = f(spark, df, str(tmp_path)).cache()
+        assert df.dtypes == docs.dtypes and {r.key for r in df.collect()} == {"clash"}
+        if name == "toxicity":
+            assert df.count() == len(rows)
+        if name == "simhash_near_duplicates":
+            assert sorted((r.doc_id or 0, r.text or "") for r in df.collect()) == sorted([(0, "one two three four"), (1, ""), (2, rows[3][1]), (3, rows[5][1])])
+    assert df.filter(F.col("text").contains("a@b")).count() == 0 and df.count() >= 3
+    last = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path))
+    assert last.columns == [*docs.columns, "ids", "n_tokens"] and last.filter("size(ids) <> n_tokens").count() == 0
+    df = make_docs([], extra=True)
+    for _, f in corpus_pipeline.STAGES:
+        df = f(spark, df, str(tmp_path))
+    assert df.count() == 0
