@@ -3,7 +3,10 @@
 Every stage reads what the one before wrote: toxic documents go, one document of
 each near-duplicate group stays, personal data is pseudonymised, the sources are
 mixed to their target weights, and the mix is encoded (and decoded again).  All
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``; columns of any name pass through.
+Null and empty texts stay until the near-duplicate stage makes one group of them,
+and are not in the mix; null ids and sources stay null; rows equal in id and text
+are copies; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -16,18 +19,22 @@ from codeseam.llm.shared import documents, materialise
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the model of the table's labels rejects."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
     return simhash.drop_near_duplicates(docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced, n_chars made anew."""
     return pii.pseudonymise(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each time a document is taken."""
     return mixing.mixed_documents(docs)
 
 
@@ -50,6 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table's documents, each written before the next one reads it."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
