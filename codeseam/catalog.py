@@ -236,9 +236,9 @@ def indexed_literal(spark, sf):
     return index.search_index(indexed(spark, sf), "content:only token", "substring").select(*FILES)
 
 
-@query(_files("(contains(lower(content), 'wand') OR contains(lower(path), 'wand')) AND regexp_matches(repo, 'src1[0-9]') AND lang IN ('de', 'en')"))
+@query(_files("(contains(lower(content), 'hand') OR contains(lower(path), 'hand')) AND regexp_matches(repo, 'src1[0-9]') AND lang IN ('de', 'en')"))
 def indexed_filters(spark, sf):
-    return index.search_index(indexed(spark, sf), "repo:^src1[0-9] lang:de lang:en wand", "substring").select(*FILES)
+    return index.search_index(indexed(spark, sf), "repo:^src1[0-9] lang:de lang:en hand", "substring").select(*FILES)
 
 
 @query("SELECT count(*) AS n_docs, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS n_bytes FROM documents")
