@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from codeseam.functions.text import owner_of
 from codeseam.operators import cluster, relations, similarity
 from codeseam.operators.refs import top_tags
-from codeseam.sources.sinks import dead_letters, merge_table, read_table, table_exists
+from codeseam.sources.sinks import dead_letters, merge_table, read_table
 
 
 def publish(events: DataFrame, path: str) -> None:
