@@ -79,3 +79,15 @@ def test_tables_are_written_when_asked_for(spark, monkeypatch):
     with pytest.raises(KeyError):
         catalog.indexed(spark, "/root/testdata/sf0.001")["nothing"]
 
+
+def test_terms_of_repeated_keys_count_once(spark, odd, tmp_path):
+    index.write_index(odd, None, str(tmp_path / "ix"), only=("terms",))
+    t = index.open_index(spark, str(tmp_path / "ix"), ("terms",))
+    want = {}
+    for repo, doc_id, text in ROWS:
+        for w in re.split(r"\W+", (text or "").lower()):
+            if w:
+                want.setdefault(w, set()).add((repo, doc_id))
+    rows = t["terms"].collect()
+    assert sorted(((r.token, r.repo, r.doc_id) for r in rows), key=repr) == sorted(((w, *k) for w, ks in want.items() for k in ks), key=repr)
+    assert {r.token: r.df for r in index.document_frequency(t["terms_n"], "token").collect()} == {w: len(k) for w, k in want.items()}
