@@ -40,6 +40,7 @@ def flat(df):
 
 def test_trigrams_flat_and_packed(spark, odd, tmp_path):
     assert flat(index.content_trigrams(odd)) == brute()
+    assert flat(index.content_trigrams(odd, ["555", "no such"])) == {k: v for k, v in brute().items() if k[0] == "555"}
     index.write_index(odd, None, str(tmp_path / "ix"), only=("content_tri",))
     assert sorted(x for x in os.listdir(tmp_path / "ix")) == ["content_tri", "meta"]
     t = index.open_index(spark, str(tmp_path / "ix"), ("content_tri",))
