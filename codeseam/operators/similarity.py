@@ -174,7 +174,9 @@ def duplicate_pairs(edges: DataFrame, entities: DataFrame, repo, external: bool
     b = entities.select(*[F.col(c).alias(f"b_{c}") for c in cols])
     e = edges.select("src", "dst", "score")
     if external:
-        e = e.union(e.select("dst", "src", "score"))
+        # both directions of a row that is made once
+        both = [F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), "score") for x, y in (("src", "dst"), ("dst", "src"))]
+        e = e.select(F.inline(F.array(*both)))
     rows = e.join(a, F.col("src") == F.col("a_stable_id")).join(b, F.col("dst") == F.col("b_stable_id"))
     rows = rows.filter((F.col("a_repo") == repo) & ((F.col("b_repo") != repo) if external else (F.col("b_repo") == repo)))
     if min_score is not None:

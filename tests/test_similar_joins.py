@@ -43,3 +43,10 @@ def test_a_task_keeps_the_best_of_all_files(spark, monkeypatch):
     starts = [(r.file, r.start) for r in tasks.collect()]
     assert len(starts) == len(set(starts)) and len({f for f, _ in starts}) > 4
 
+
+def test_duplicates_elsewhere_read_the_edges_once(spark):
+    e = spark.range(3).selectExpr("id AS src", "id + 10 AS dst", "0.5D AS score")
+    ent = spark.createDataFrame([(i, "a" if i < 10 else "b") for i in (0, 1, 2, 10, 11, 12)], "stable_id long, repo string")
+    found = similarity.duplicate_pairs(e, ent, "b", external=True)
+    assert sorted(map(tuple, found.collect())) == [(10, 0, 0.5), (11, 1, 0.5), (12, 2, 0.5)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 3") == 1
