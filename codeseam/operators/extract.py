@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codeseam.functions.text import entity_language, located, newlines
 from codeseam.operators import languages
+from codeseam.sources.folders import written
 
 _ID = r"(\p{javaUnicodeIdentifierStart}\p{javaUnicodeIdentifierPart}*)"
 #: extensions -> pattern whose group is the name
@@ -185,9 +186,9 @@ def call_edges(e: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities and all their edges (src, dst, kind, line).  Sources are read once
-    for the entities and once for every kind of edge unless they are written."""
-    e = entities(files)
-    imports = resolved_imports(e)
+    """Entities and all their edges (src, dst, kind, line).  Sources are parsed once:
+    entities and resolved imports, which every rule reads, are written."""
+    e = written(entities(files), "entities")
+    imports = written(resolved_imports(e), "imports")
     edges = containment_edges(e).unionByName(import_edges(imports)).unionByName(call_edges(e, imports))
     return e, edges
