@@ -39,22 +39,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, start, depth: int, forward: bool = True, kind: str | None = "call") -> DataFrame:
     """node, depth of all nodes within ``depth`` steps, the start excluded: a join
-    and an anti join a level, only the frontier moves."""
+    and an anti join a level, only the frontier moves.  A frontier is written, so
+    its size is known and beside a small one edges are scanned where they lie; edges
+    may repeat."""
     if kind is not None:
         edges = edges.filter(F.col("kind") == kind)
     a, b = ("src", "dst") if forward else ("dst", "src")
-    step = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    step = edges.select(F.col(a).alias("node"), F.col(b).alias("next"))
     kind_of = edges.schema["src"].dataType
     spark = edges.sparkSession
     seen = spark.range(1).select(F.lit(start).cast(kind_of).alias("node"), F.lit(0).alias("depth"))
     frontier = seen.select("node")
     for d in range(1, depth + 1):
-        frontier = frontier.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
+        frontier = cut(frontier.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"))
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(d)))
-        if d % 4 == 0:
-            seen, frontier = cut(seen), cut(frontier)
-            if frontier.isEmpty():
-                break
+        if d < depth and frontier.isEmpty():
+            break
     return seen.filter("depth > 0")
 
 

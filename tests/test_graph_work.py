@@ -10,3 +10,11 @@ def test_sources_are_parsed_once(spark):
         assert "MapInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert [r.kind for r in x.collect()] == ["call"] and e.count() == 3
 
+
+def test_reach_over_repeated_edges_is_written_by_level(spark):
+    rows = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), (None, "a"), ("b", None)]
+    edges = spark.createDataFrame([(*r, "call") for r in rows] + [("a", "z", "import")], "src string, dst string, kind string")
+    found = graph.reachable(edges, "a", 5)
+    assert sorted(map(tuple, found.filter("node IS NOT NULL").collect())) == [("b", 1), ("c", 2), ("d", 3)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, graph.reachable(edges, "d", 2, forward=False).collect())) == [("b", 2), ("c", 1)]
